@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,20 @@ def read_linears(weights: DataFrame, max_cells: int = 16_000_000) -> dict[str, L
     return layers
 
 
+def is_ml_vector(df: DataFrame, vec: str = "vec") -> bool:
+    return isinstance(df.schema[vec].dataType, VectorUDT)
+
+
+def as_array(df: DataFrame, vec: str = "vec") -> Column:
+    """The vector column as ``ARRAY<DOUBLE>``, whatever form it is stored in."""
+    return vector_to_array(vec) if is_ml_vector(df, vec) else F.col(vec).cast("array<double>")
+
+
+def as_ml_vector(df: DataFrame, vec: str = "vec") -> Column:
+    """The vector column as an ML vector; a sparse one stays sparse."""
+    return F.col(vec) if is_ml_vector(df, vec) else array_to_vector(vec)
+
+
 def constant(values: np.ndarray) -> Column:
     """A literal array of doubles, nested for a matrix."""
     return F.expr(_array_sql(values))
@@ -89,12 +105,23 @@ def relu(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.greatest(x, F.lit(0.0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda runs per element and would recompute any expression it closes over;
+    binding the value as a lambda variable of a one-element array prevents that.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def log_softmax(vec: Column) -> Column:
     """``x - max - ln(sum(exp(x - max)))``."""
-    shifted = F.transform(vec, lambda x: x - F.array_max(vec))
-    return F.transform(
-        shifted, lambda x: x - F.ln(total(F.transform(shifted, lambda y: F.exp(y))))
-    )
+
+    def shift(v: Column, peak: Column) -> Column:
+        mass = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
+        return let(peak + F.ln(mass), lambda level: F.transform(v, lambda x: x - level))
+
+    return let(vec, lambda v: let(F.array_max(v), lambda peak: shift(v, peak)))
 
 
 def argmax(vec: Column) -> Column:
@@ -108,8 +135,11 @@ def one_hot(label: Column, k: int) -> Column:
 
 def l2_normalize(vec: Column) -> Column:
     """Divide by the Euclidean norm; a zero vector stays zero."""
-    norm = F.sqrt(dot(vec, vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
+
+    def divide(v: Column, norm: Column) -> Column:
+        return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+    return let(vec, lambda v: let(F.sqrt(dot(v, v)), lambda norm: divide(v, norm)))
 
 
 def linear(vec: Column, layer: Linear, *, native: bool | None = None) -> Column:
@@ -123,7 +153,7 @@ def linear(vec: Column, layer: Linear, *, native: bool | None = None) -> Column:
     if not native:
         return _linear_batched(layer)(vec)
     rows = constant(layer.weight)
-    product = F.transform(rows, lambda row: dot(row, vec))
+    product = let(vec, lambda v: F.transform(rows, lambda row: dot(row, v)))
     return product if layer.bias is None else add(product, constant(layer.bias))
 
 
@@ -138,7 +168,8 @@ def _linear_batched(layer: Linear):
             product = np.stack(vecs[known].to_numpy()) @ weight.T
             if bias is not None:
                 product = product + bias
-            out[known] = list(product)
+            for place, row in zip(np.flatnonzero(known), product):
+                out[place] = row
         return pd.Series(out)
 
     return apply

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vectors import as_array
 from .graph import Graph
-from .layers import as_array, gcn2_forward
+from .layers import gcn2_forward
 
 
 def gather_rows(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vectors import as_array
 from .graph import Graph, norms
 from .joins import lookup_join
 from .propagate import hop, neighbour_sum
@@ -24,35 +23,26 @@ from .propagate import hop, neighbour_sum
 LEAKY_SLOPE = 0.2
 
 
-def as_array(vectors: DataFrame, vec: str = "vec") -> Column:
-    """The vector column as an array, whatever form it is stored in."""
-    if isinstance(vectors.schema[vec].dataType, VectorUDT):
-        return vector_to_array(vec)
-    return F.col(vec).cast("array<double>")
-
-
 def map_vectors(vectors: DataFrame, function) -> DataFrame:
     """Apply a column function to every vector, row by row, without a shuffle."""
     return vectors.withColumn("vec", function(F.col("vec")))
 
 
 def with_norms(graph: Graph, vectors: DataFrame) -> DataFrame:
-    return vectors.select("node_id", as_array(vectors).alias("vec")).join(
-        norms(graph), "node_id"
-    )
+    return vectors.select("node_id", "vec").join(norms(graph), "node_id")
 
 
 def gcn_propagate(graph: Graph, vectors: DataFrame) -> DataFrame:
     """``sum_j x_j / sqrt(d_i d_j)`` over neighbours j and i itself.
 
     The weight factors into a part of the sender and one of the receiver, so
-    edges carry no weight: scale, sum, scale again. Keeps a ``norm`` column if
-    the input has one, for the next layer.
+    edges carry no weight: the sum weighs each sender, and one scaling per node
+    follows. Sparse features travel to their neighbours as sparse vectors. Keeps
+    a ``norm`` column if the input has one, for the next layer.
     """
     chained = "norm" in vectors.columns
-    scaled = vectors if chained else with_norms(graph, vectors)
-    sent = scaled.select("node_id", V.scale(F.col("vec"), F.col("norm")).alias("vec"), "norm")
-    got = hop(graph.proper_hops, sent, hot=graph.hot, keep=("norm",))
+    sent = vectors if chained else with_norms(graph, vectors)
+    got = hop(graph.proper_hops, sent, hot=graph.hot, weight="norm", keep=("norm",))
     result = got.withColumn("vec", V.scale(F.col("vec"), F.col("norm")))
     return result if chained else result.drop("norm")
 
@@ -216,13 +206,14 @@ def gat_layer(graph: Graph, vectors: DataFrame, layer: Attention) -> DataFrame:
         F.concat(F.zip_with("h", spread, lambda h, p: h * p), "p").alias("vec"),
     )
     summed = neighbour_sum(rows, by="node_id", vec="vec")
-    parts = [
-        F.transform(
-            F.slice("vec", k * width + 1, width),
-            lambda x, k=k: x / F.element_at("vec", body + k + 1),
+
+    def share(k: int) -> Column:
+        head = F.slice("vec", k * width + 1, width)
+        return V.let(
+            F.element_at("vec", body + k + 1), lambda mass: F.transform(head, lambda x: x / mass)
         )
-        for k in range(heads)
-    ]
+
+    parts = [share(k) for k in range(heads)]
     if layer.concat:
         merged = F.concat(*parts)
     else:

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import as_ml_vector
 from .joins import HotKeys, lookup_join
 
 
-def neighbour_sum(rows: DataFrame, *, by: str, vec: str, carry: dict[str, Column] | None = None) -> DataFrame:
-    """Sum the vectors of each group; sparse vectors are added as such.
+def neighbour_sum(
+    rows: DataFrame,
+    *,
+    by: str,
+    vec: str = "vec",
+    weight: str | None = None,
+    carry: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Sum the vectors of each group, times a positive ``weight`` if given.
 
     The sum is partial before the shuffle, so a hub receives one row per task.
-    ``carry`` adds further aggregates.
+    Sparse vectors are added as such. ``carry`` adds further aggregates.
     """
-    column = F.col(vec)
-    if not isinstance(rows.schema[vec].dataType, VectorUDT):
-        column = array_to_vector(column)
     extra = [value.alias(name) for name, value in (carry or {}).items()]
-    return rows.groupBy(by).agg(vector_to_array(Summarizer.sum(column)).alias(vec), *extra)
+    vectors = as_ml_vector(rows, vec)
+    summed = Summarizer.sum(vectors, F.col(weight)) if weight else Summarizer.sum(vectors)
+    return rows.groupBy(by).agg(vector_to_array(summed).alias(vec), *extra)
 
 
 def hop(
@@ -31,9 +37,10 @@ def hop(
     hot: HotKeys,
     vec: str = "vec",
     own_vec: str | None = None,
+    weight: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Sum ``vec`` of all senders per receiver.
+    """Sum ``vec`` of all senders per receiver, times the sender's ``weight`` if given.
 
     ``own_vec`` is what a node sends to itself, if different. ``keep`` names
     scalar columns of the receiver that are carried through its own row.
@@ -44,8 +51,9 @@ def hop(
     message = F.col(vec)
     if own_vec:
         message = F.when(F.col("own"), F.col(own_vec)).otherwise(message)
+    scalars = {*keep, *([weight] if weight else [])}
     rows = sent.select(
-        F.col("dst").alias("node_id"), "own", message.alias("vec"), *keep
+        F.col("dst").alias("node_id"), "own", message.alias("vec"), *sorted(scalars)
     )
     carry = {name: F.max(F.when(F.col("own"), F.col(name))) for name in keep}
-    return neighbour_sum(rows, by="node_id", vec="vec", carry=carry)
+    return neighbour_sum(rows, by="node_id", vec="vec", weight=weight, carry=carry)

@@ -8,6 +8,7 @@ or features.
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import as_array
 
 #: Width of the features and document-frequency limits (shares of n).
 DIM = 512
@@ -104,8 +106,6 @@ class TfidfModel:
 
     @functools.cached_property
     def idf(self) -> list[float]:
-        import math
-
         return [math.log((1 + self.n) / (1 + df)) + 1 for df in self.df]
 
     def counts(self, nodes: DataFrame, *, vec: str = "tf") -> DataFrame:
@@ -134,7 +134,7 @@ class TfidfModel:
         """Non-zero entries as ``(node_id, term, value)``."""
         names = F.split(F.lit(" ".join(self.terms)), " ")
         return (
-            rows.select("node_id", F.posexplode(vector_to_array(vec)).alias("_i", "value"))
+            rows.select("node_id", F.posexplode(as_array(rows, vec)).alias("_i", "value"))
             .filter(F.col("value") != 0)
             .select("node_id", F.element_at(names, F.col("_i") + 1).alias("term"), "value")
         )

@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import as_ml_vector
 from ..session import settle
 from .fusion import FUSIONS
 from .graph import Graph
@@ -43,12 +43,9 @@ def fit_and_predict(
     ``nodes`` is ``(node_id, label, mode)``. The joined rows are stored once: the
     optimiser reads them in every iteration.
     """
-    column = F.col("vec")
-    if not isinstance(vectors.schema["vec"].dataType, VectorUDT):
-        column = array_to_vector(column)
     rows = settle(
         nodes.select("node_id", "label", "mode").join(
-            vectors.select("node_id", column.alias("features")), "node_id"
+            vectors.select("node_id", as_ml_vector(vectors).alias("features")), "node_id"
         )
     )
     learner = LogisticRegression(

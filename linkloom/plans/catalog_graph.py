@@ -11,12 +11,14 @@ from ..operators import graph as G
 from ..operators import layers as L
 from ..operators import metrics as M
 from ..operators import ordering as O
-from ..operators import tfidf, training
+from ..operators import training
 from ..session import scratch_path
 from ..sources import sinks
 from . import checksql as S
 from . import fixtures as fx
-from .catalog_tables import AUTHORS, linked_articles
+from .catalog_tables import AUTHORS
+from .dataset import LinkedTexts
+from .experiment import run_experiment
 from .registry import long, num, query
 
 HIDDEN = 8
@@ -133,11 +135,11 @@ def coauthor_degree(spark, sf):
     "p as (select a.node_id as node_id, b.node_id as other, count(*) as w from da a join da b using (author) where a.node_id <> b.node_id group by 1, 2), "
     "s as (select p.node_id, i, sum(w * x) as x from p join x0 on x0.node_id = p.other group by 1, 2), "
     "ids as (select distinct node_id from da), g as (select node_id, unnest(range(64)) as i from ids) "
-    "select node_id, i::integer as dim, round(coalesce(x, 0.0), 5) + 0.0::double as value from g left join s using (node_id, i)",
+    "select node_id, i::integer as dim, round(coalesce(x, 0.0::double), 6) + 0.0::double as value from g left join s using (node_id, i)",
 )
 def coauthor_sum(spark, sf):
     rows = G.coauthor_sum(fx.doc_authors(spark, sf), fx.stored_vectors(spark, sf))
-    return long(rows).withColumn("value", num("value", 5))
+    return long(rows)
 
 
 # --------------------------------------------------------------------- layers
@@ -461,7 +463,7 @@ REPORT = """select mode, count(*) as n, round(avg((pred = label)::integer::doubl
   round(avg((pred = label)::integer::double), 4) as f1_micro, round(avg(loss), 5) as loss"""
 
 
-@query("metrics_report", f"with {PRED_SPLIT}, {SCORES}, {BCE} {REPORT} from sp join bce using (node_id) group by 1")
+@query("metrics_report", f"with {PRED_SPLIT}, {SCORES}, {BCE} {REPORT} from sp join (select node_id, loss from bce) using (node_id) group by 1")
 def metrics_report(spark, sf):
     losses = fx.scores(spark, sf).select(
         "node_id", M.bce_with_logits(F.col("scores"), F.col("label"), 10).alias("loss")
@@ -525,8 +527,14 @@ select node_id, term, {S.num('x')} as value from hop"""
 @query("linked_tfidf_hop", FLAGSHIP)
 def linked_tfidf_hop(spark, sf):
     """Noisy articles and links to smoothed text features, end to end."""
-    nodes, edges = linked_articles(spark, sf)
-    model = tfidf.fit_tfidf(nodes)
-    graph = G.Graph.build(nodes, edges)
-    smoothed = L.gcn_propagate(graph, model.vectors(nodes))
+    data = LinkedTexts.load(fx.articles(spark, sf), fx.citations(spark, sf))
+    model, features = data.features()
+    smoothed = L.gcn_propagate(data.create_graph(), features)
     return model.long(smoothed).withColumn("value", num("value"))
+
+
+@query("linked_classifier")
+def linked_classifier(spark, sf):
+    """Noisy articles and links to predicted classes, end to end."""
+    data = LinkedTexts.load(fx.articles(spark, sf), fx.citations(spark, sf))
+    return run_experiment(data).predictions.select("node_id", "mode", "label", "pred")

@@ -118,10 +118,10 @@ def all_authors(spark, sf):
     return A.all_authors(nodes)
 
 
-@query("apply_transform", f"with {S.CLEAN} select text_id, upper(text) as text from clean")
+@query("apply_transform", f"with {S.CLEAN} select text_id, replace(text, ' ', '_') as text from clean")
 def apply_transform(spark, sf):
     nodes = A.clean_articles(fx.articles(spark, sf)).select("text_id", "text")
-    return A.apply_to(nodes, "text", F.upper)
+    return A.apply_to(nodes, "text", lambda text: F.replace(text, F.lit(" "), F.lit("_")))
 
 
 @query("apply_target_transform", f"with {S.CLEAN} select text_id, label * 10 + 1 as label from clean")

@@ -54,3 +54,14 @@ def settle(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint()
+
+
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Like ``settle``, but later readers only read the columns they use. Meant for
+    tables that hold texts.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
