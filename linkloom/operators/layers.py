@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.vectors import as_array
+from ..session import settle
 from .graph import Graph, norms
 from .joins import lookup_join
 from .propagate import hop, neighbour_sum
@@ -255,7 +256,9 @@ def gin_forward(graph: Graph, vectors: DataFrame, mlps: tuple[Mlp, Mlp]) -> Data
 
 
 def gat_forward(graph: Graph, vectors: DataFrame, layers: tuple[Attention, Attention]) -> DataFrame:
-    hidden = map_vectors(gat_layer(graph, vectors, layers[0]), V.relu)
+    """Two attention layers. The first one's output is read several times by the
+    second (scores, maxima, messages), so it is stored in between."""
+    hidden = settle(map_vectors(gat_layer(graph, vectors, layers[0]), V.relu))
     return map_vectors(gat_layer(graph, hidden, layers[1]), V.log_softmax)
 
 

@@ -10,7 +10,7 @@ from ..operators import articles as A
 from ..operators import citations as C
 from ..operators import ordering as O
 from ..operators import tfidf
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from ..sources import readers, sinks
 from ..streaming.ingest import ingest_new_articles
 from . import checksql as S
@@ -174,15 +174,16 @@ def drop_isolated(spark, sf):
 
 def linked_articles(spark, sf):
     """Numbered nodes and encoded edges of the noisy articles."""
-    nodes = A.clean_articles(fx.articles(spark, sf))
-    edges = C.clean_edges(fx.citations(spark, sf), nodes)
+    cleaned = A.clean_articles(fx.articles(spark, sf))
+    nodes = settle(cleaned.withColumn("n_chars", F.length("text").cast("bigint")).drop("text"))
+    edges = settle(C.clean_edges(fx.citations(spark, sf), nodes))
     return C.reindex(C.drop_isolated(nodes, edges), edges)
 
 
 @query("reindex_nodes", f"with {S.LINKED} select node_id, text_id, label, length(text) as n_chars from nodes")
 def reindex_nodes(spark, sf):
     nodes, _ = linked_articles(spark, sf)
-    return nodes.select("node_id", "text_id", "label", F.length("text").cast("bigint").alias("n_chars"))
+    return nodes.select("node_id", "text_id", "label", "n_chars")
 
 
 @query("reindex_edges", f"with {S.LINKED} select src, dst from edges")

@@ -42,8 +42,10 @@ class LinkedTexts:
         edges = settle(C.encode_edges(links, ids))
         numbered = ordering.split(ids, seed=seed)
         carried = [c for c in ("authors", "title", "history") if c in articles.columns]
+        # placed by ord even where the join would broadcast the ids: the stored
+        # texts are then spread evenly, and no join shuffles them a second time
         texts = articles.select("ord", F.col("abstract").alias("text"), *carried)
-        nodes = numbered.join(texts, "ord").drop("ord")
+        nodes = texts.repartition("ord").join(numbered, "ord").drop("ord")
         if "history" in carried:
             nodes = nodes.withColumn("time", A.first_event_time("history")).drop("history")
         return cls(store(nodes, "nodes"), edges)

@@ -44,7 +44,15 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    """Texts of all documents.
+
+    A table in fewer files than there are cores (such as the test tables, one row
+    group each) is spread by id; one in many files is read as it lies.
+    """
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    if len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "node_id")
+    return rows
 
 
 def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
