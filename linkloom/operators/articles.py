@@ -34,6 +34,15 @@ def cast_ids(articles: DataFrame) -> DataFrame:
     )
 
 
+def without_texts(articles: DataFrame) -> DataFrame:
+    """The columns that decide which articles stay, with a flag for the text.
+
+    Cleaning these first keeps texts out of the shuffle that finds first rows.
+    """
+    flag = F.when(F.col("abstract").isNotNull(), True)
+    return articles.select("ord", "pmid", "label", flag.alias("abstract"))
+
+
 def first_event_time(history: Column | str) -> Column:
     """Time of the smallest value of an event map; null for an empty map."""
     return F.to_timestamp_ntz(F.array_min(F.map_values(history)))

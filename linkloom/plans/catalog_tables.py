@@ -32,6 +32,11 @@ links as (select a.p_name as source,
 # ------------------------------------------------------------------ articles
 
 
+def kept_articles(spark, sf):
+    """``(ord, text_id, label)`` of the clean articles, found without their texts."""
+    return A.clean_articles(A.without_texts(fx.articles(spark, sf))).drop("text")
+
+
 @query("filter_notnull", f"with {S.ARTICLES} select ord, pmid, label from articles where label is not null and abstract is not null")
 def filter_notnull(spark, sf):
     return A.with_label_and_text(fx.articles(spark, sf)).select("ord", "pmid", "label")
@@ -45,7 +50,7 @@ def dedup_first(spark, sf):
 
 @query("cast_ids", f"with {S.CLEAN} select text_id, label from clean")
 def cast_ids(spark, sf):
-    kept = A.with_label_and_text(A.first_per_key(fx.articles(spark, sf)))
+    kept = A.with_label_and_text(A.first_per_key(A.without_texts(fx.articles(spark, sf))))
     return A.cast_ids(kept).select("text_id", "label")
 
 
@@ -142,14 +147,15 @@ def edges_drop_null(spark, sf):
     return C.drop_null_edges(fx.citations(spark, sf))
 
 
-@query("edges_dedup", f"with {S.CITATIONS} select distinct source, target from citations")
+@query("edges_dedup", f"with {S.CITATIONS} select distinct source::varchar as source, target from citations")
 def edges_dedup(spark, sf):
-    return C.dedup_edges(fx.citations(spark, sf))
+    # ids that may be null are compared as text
+    return C.dedup_edges(fx.citations(spark, sf)).withColumn("source", F.col("source").cast("string"))
 
 
 @query("edges_known_endpoints", f"with {S.KNOWN} select source, target from known")
 def edges_known_endpoints(spark, sf):
-    return C.clean_edges(fx.citations(spark, sf), A.clean_articles(fx.articles(spark, sf)))
+    return C.clean_edges(fx.citations(spark, sf), kept_articles(spark, sf))
 
 
 @query(
@@ -158,8 +164,8 @@ def edges_known_endpoints(spark, sf):
     "select a.node_id as src, b.node_id as dst from known k join ids a on a.text_id = k.source join ids b on b.text_id = k.target",
 )
 def edges_encode(spark, sf):
-    nodes = A.clean_articles(fx.articles(spark, sf))
-    edges = C.clean_edges(fx.citations(spark, sf), nodes)
+    nodes = settle(kept_articles(spark, sf))
+    edges = settle(C.clean_edges(fx.citations(spark, sf), nodes))
     return C.encode_edges(edges, O.dense_id_map(nodes, "ord", "text_id"))
 
 
@@ -228,7 +234,7 @@ def split_documents(spark, sf):
 
 @query("dense_ids", f"with {S.CLEAN} select row_number() over (order by ord) - 1 as node_id, ord, text_id from clean")
 def dense_ids(spark, sf):
-    nodes = A.clean_articles(fx.articles(spark, sf)).select("ord", "text_id")
+    nodes = settle(kept_articles(spark, sf).select("ord", "text_id"))
     return O.dense_ids(nodes, "ord").select("node_id", "ord", "text_id")
 
 
@@ -296,11 +302,11 @@ def scan_articles_json(spark, sf):
     return readers.read_articles(spark, path).select("ord", "pmid", "label", "abstract")
 
 
-@query("scan_edges_csv", f"with {S.CITATIONS} select source, target from citations")
+@query("scan_edges_csv", f"with {S.CITATIONS} select source::varchar as source, target from citations")
 def scan_edges_csv(spark, sf):
     path = scratch_path(spark, "edges")
     fx.citations(spark, sf).write.csv(path, header=True)
-    return readers.read_edges(spark, path)
+    return readers.read_edges(spark, path).withColumn("source", F.col("source").cast("string"))
 
 
 @query(

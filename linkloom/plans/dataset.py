@@ -33,10 +33,8 @@ class LinkedTexts:
         Everything is decided on narrow columns; the texts are shuffled once, when
         the surviving articles get their ids, and stored once.
         """
-        facts = articles.select(
-            "ord", "pmid", "label", F.when(F.col("abstract").isNotNull(), True).alias("abstract")
-        )
-        kept = settle(A.clean_articles(facts).select("ord", "text_id", "label"))
+        cleaned = A.clean_articles(A.without_texts(articles))
+        kept = settle(cleaned.select("ord", "text_id", "label"))
         links = settle(C.clean_edges(citations, kept))
         ids = ordering.dense_id_map(C.drop_isolated(kept, links), "ord", "text_id", "label")
         edges = settle(C.encode_edges(links, ids))
