@@ -151,10 +151,15 @@ def coauthor_edges(edges: DataFrame, doc_authors: DataFrame) -> DataFrame:
     listed: that is quadratic in a prolific author. ``coauthor_sum`` walks the
     whole co-author graph through the authors instead.
     """
-    hot = hot_keys(edges, "src")["src"]
+    pairs = edges.select("src", "dst")
     mine = doc_authors.select(F.col("node_id").alias("_mine"), "author")
     theirs = doc_authors.select(F.col("node_id").alias("dst"), "author")
-    candidates = lookup_join(edges.select("src", "dst"), mine, "src", "_mine", hot=hot)
+    # spread the side in which a document is heavy: its authors, or else its links
+    crowded = hot_keys(mine, "_mine")["_mine"]
+    if crowded:
+        candidates = lookup_join(mine, pairs, "_mine", "src", hot=crowded)
+    else:
+        candidates = lookup_join(pairs, mine, "src", "_mine", hot=hot_keys(pairs, "src")["src"])
     return (
         candidates.join(theirs, ["dst", "author"])
         .groupBy("src", "dst")
@@ -185,10 +190,10 @@ def coauthor_sum(doc_authors: DataFrame, vectors: DataFrame) -> DataFrame:
     hot = hot_keys(doc_authors, "author", "node_id")
     own = vectors.select(F.col("node_id").alias("_doc"), "vec")
     written = lookup_join(doc_authors, own, "node_id", "_doc", hot=hot["node_id"])
-    per_author = neighbour_sum(written, by="author", vec="vec").select(
+    per_author = neighbour_sum(written.drop("node_id", "_doc"), by="author").select(
         F.col("author").alias("_author"), F.col("vec").alias("_sum")
     )
     back = lookup_join(
         written.drop("_doc"), per_author, "author", "_author", hot=hot["author"]
     ).select("node_id", F.zip_with("_sum", "vec", lambda s, x: s - x).alias("vec"))
-    return neighbour_sum(back, by="node_id", vec="vec")
+    return neighbour_sum(back, by="node_id")

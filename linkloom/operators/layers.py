@@ -33,17 +33,16 @@ def with_norms(graph: Graph, vectors: DataFrame) -> DataFrame:
     return vectors.select("node_id", "vec").join(norms(graph), "node_id")
 
 
-def gcn_propagate(graph: Graph, vectors: DataFrame) -> DataFrame:
+def gcn_propagate(graph: Graph, vectors: DataFrame, *, width: int | None = None) -> DataFrame:
     """``sum_j x_j / sqrt(d_i d_j)`` over neighbours j and i itself.
 
     The weight factors into a part of the sender and one of the receiver, so
     edges carry no weight: the sum weighs each sender, and one scaling per node
-    follows. Sparse features travel to their neighbours as sparse vectors. Keeps
-    a ``norm`` column if the input has one, for the next layer.
+    follows. Keeps a ``norm`` column if the input has one, for the next layer.
     """
     chained = "norm" in vectors.columns
     sent = vectors if chained else with_norms(graph, vectors)
-    got = hop(graph.proper_hops, sent, hot=graph.hot, weight="norm", keep=("norm",))
+    got = hop(graph.proper_hops, sent, hot=graph.hot, width=width, weight="norm", keep=("norm",))
     result = got.withColumn("vec", V.scale(F.col("vec"), F.col("norm")))
     return result if chained else result.drop("norm")
 
@@ -51,9 +50,10 @@ def gcn_propagate(graph: Graph, vectors: DataFrame) -> DataFrame:
 def gcn_layer(graph: Graph, vectors: DataFrame, layer: V.Linear) -> DataFrame:
     """``W (propagated x) + b``."""
     if layer.n_out > layer.n_in:
-        return map_vectors(gcn_propagate(graph, vectors), lambda v: V.linear(v, layer))
+        propagated = gcn_propagate(graph, vectors, width=layer.n_in)
+        return map_vectors(propagated, lambda v: V.linear(v, layer))
     narrowed = vectors.withColumn("vec", V.linear(as_array(vectors), layer.without_bias()))
-    propagated = gcn_propagate(graph, narrowed)
+    propagated = gcn_propagate(graph, narrowed, width=layer.n_out)
     if layer.bias is None:
         return propagated
     return map_vectors(propagated, lambda v: V.add(v, V.constant(layer.bias)))
@@ -73,9 +73,10 @@ def sage_layer(
         V.linear(x, neighbours.without_bias()).alias("vec"),
         V.linear(x, own_map).alias("own_vec"),
     )
-    return map_vectors(
-        hop(graph.all_hops, sent, hot=graph.hot, own_vec="own_vec"), V.l2_normalize
+    summed = hop(
+        graph.all_hops, sent, hot=graph.hot, own_vec="own_vec", width=neighbours.n_out
     )
+    return map_vectors(summed, V.l2_normalize)
 
 
 @dataclass(frozen=True)
@@ -92,14 +93,13 @@ def gin_layer(graph: Graph, vectors: DataFrame, mlp: Mlp) -> DataFrame:
     x = as_array(vectors)
     if first.n_out <= first.n_in:
         sent = vectors.select("node_id", V.linear(x, first.without_bias()).alias("vec"))
-        summed = hop(graph.all_hops, sent, hot=graph.hot)
+        summed = hop(graph.all_hops, sent, hot=graph.hot, width=first.n_out)
         if first.bias is not None:
             summed = map_vectors(summed, lambda v: V.add(v, V.constant(first.bias)))
     else:
         sent = vectors.select("node_id", x.alias("vec"))
-        summed = map_vectors(
-            hop(graph.all_hops, sent, hot=graph.hot), lambda v: V.linear(v, first)
-        )
+        summed = hop(graph.all_hops, sent, hot=graph.hot, width=first.n_in)
+        summed = map_vectors(summed, lambda v: V.linear(v, first))
     for layer in rest:
         summed = map_vectors(summed, V.relu)
         summed = map_vectors(summed, lambda v, layer=layer: V.linear(v, layer))
@@ -206,7 +206,7 @@ def gat_layer(graph: Graph, vectors: DataFrame, layer: Attention) -> DataFrame:
         F.col("dst").alias("node_id"),
         F.concat(F.zip_with("h", spread, lambda h, p: h * p), "p").alias("vec"),
     )
-    summed = neighbour_sum(rows, by="node_id", vec="vec")
+    summed = neighbour_sum(rows, by="node_id", width=body + heads)
 
     def share(k: int) -> Column:
         head = F.slice("vec", k * width + 1, width)

@@ -12,9 +12,6 @@ SUGGESTED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Vector sums run in an object hash aggregate. Its default of 128 groups per
-    # task before it sorts is far below a graph's node count.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 
 
