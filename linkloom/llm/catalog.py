@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import lines  # noqa: F401
+from . import lines, quality, tokenids  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
