@@ -78,11 +78,15 @@ class LineRuns:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """Documents in one struct, with a 128-bit hash of the text; equal texts lose equal lines."""
+    """Documents in one struct, with a 128-bit hash of text and row (maps have no hash).
+
+    Fully equal rows share it; they lose equal lines.
+    """
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.xxhash64(F.lit(1), F.col(text)).alias("_a"),
-        F.xxhash64(F.lit(2), F.col(text)).alias("_b"),
+        F.xxhash64(F.lit(2), *[F.col(f"`{c}`") for c in hashed]).alias("_b"),
         text_lines(F.col(text)).alias("_lines"),
     )
 
