@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import lines, packing, quality, tokenids  # noqa: F401
+from . import lines, packing, quality, tokenids, warc  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401

@@ -197,7 +197,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = END_I
                 files, folder = fs.FileSystem.from_uri(path)
                 files.create_dir(folder, recursive=True)
                 name = f"ids-{part:06d}-{uuid.uuid4().hex}.dac"
-                sink = files.open_output_stream(f"{folder}/{name}")
+                sink = files.open_output_stream(f"{folder}/{name}", compression=None)
                 writer = IdWriter(sink)
             encoded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
