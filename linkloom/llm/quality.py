@@ -121,7 +121,7 @@ def fit_quality(
         yield pa.record_batch({"weights": pa.array([weights.tobytes()], pa.binary())})
 
     # the sample is bounded, so that one task may hold it
-    trained = store(sample.coalesce(1).mapInArrow(fit, "weights binary"), "quality-model")
+    trained = store(sample.repartition(1).mapInArrow(fit, "weights binary"), "quality-model")
     found = trained.first()
     return np.frombuffer(found["weights"]) if found else np.zeros(2**bits + 1)
 
