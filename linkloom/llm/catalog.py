@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, packing, quality, tokenids, warc  # noqa: F401
+from . import decontaminate, lines, neardup_vectors, packing, quality, tokenids, warc  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
