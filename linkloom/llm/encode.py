@@ -17,11 +17,13 @@ import numpy as np
 #: The white space of the tokenizer's pattern.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers: up to twice as many, the longest unused go first.
+REMEMBERED = 400_000
 LONGEST = 64
 #: The id written after each document.
 END_ID = 0
+#: Pieces encoded by one call, a line each.
+LINES = 4096
 
 
 def tokenizer_path() -> str:
@@ -37,24 +39,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.newline,) = self._ids("\n")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, one to a line; those with white space other than a first blank alone."""
+        lines = []
+        for piece in pieces:
+            if piece.isspace():
+                self.known[piece] = np.array(self._ids(piece), dtype="<u4").tobytes()
+            else:
+                lines.append(piece)
+        for at in range(0, len(lines), LINES):
+            part = lines[at : at + LINES]
+            ids = np.array(self._ids("\n".join(part)), dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)).tolist()
+            if len(ends) != len(part):
+                raise RuntimeError("the tokenizer does not encode line by line")
+            start = 0
+            for piece, end in zip(part, ends, strict=True):
+                self.known[piece] = ids[start:end].tobytes()
+                start = end + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         cut = [_PIECES.findall(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [piece for piece in set().union(*cut) if piece not in self.known]
-        long = [piece for piece in new if len(piece) > LONGEST]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(
-                part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True
-            ):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in long:
-            del self.known[piece]
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for piece in set().union(*cut):
+            if piece not in known:
+                if piece in older:
+                    known[piece] = older[piece]
+                else:
+                    new.append(piece)
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del known[piece]
         return out
 
 
