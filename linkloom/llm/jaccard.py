@@ -11,9 +11,12 @@ What is asked for are links up to connection, so not every pair is verified:
 
 1. In a shingle's list, ordered by size, each group is paired with the one before it and
    with the first; in a group, each member with the first. Verified links give components.
-2. Lists whose groups lie in several components are still open. There every pair of
-   groups of different components that passes the filters is verified, except pairs
-   done before. A pair left out is either filtered or inside one component.
+2. Lists whose groups lie in several components are still open. Each is put in a random
+   order of its own and neighbours of different components are verified; dense groups
+   of near copies grow together here.
+3. In lists still open, every pair of groups of different components that passes the
+   filters is verified, except pairs done before. A pair left out is either filtered or
+   inside one component.
 
 The order of shingles is a bounded table of the most frequent ones (``FREQUENT``) with
 the rest by hash; any order gives the same links, a better one gives fewer candidates.
@@ -224,6 +227,23 @@ def _pairs(one, other) -> list:
     return [F.least(one, other).alias("left"), F.greatest(one, other).alias("right")]
 
 
+def _open_lists(shared: DataFrame, grouped: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the lists whose groups lie in several components; members; units.
+
+    A unit is what one group has in one component. ``_outside`` marks rows that are not
+    in the component most frequent in their list.
+    """
+    members = grouped.join(parts.withColumnRenamed("node_id", "rep"), "rep").select("g", "rep", "component")
+    units = members.groupBy("g", "component").agg(F.min("rep").alias("unit"))
+    rows = shared.select("shingle", "g", "place").distinct().join(units, "g")
+    counts = rows.groupBy("shingle", "component").agg(F.count("*").alias("_n"))
+    open_ = counts.groupBy("shingle").agg(
+        F.count("*").alias("_parts"), F.max(F.struct("_n", "component")).alias("_main")
+    ).filter(F.col("_parts") > 1).select("shingle", F.col("_main.component").alias("_main"))
+    opened = rows.join(open_, "shingle").withColumn("_outside", F.col("component") != F.col("_main")).drop("_main")
+    return store(opened, "open-lists"), members, units
+
+
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int = FREQUENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each document."""
     spark = docs.sparkSession
@@ -277,19 +297,22 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
         return connected_components(nodes, edges.select(F.col("left").alias("src"), F.col("right").alias("dst")))
 
     parts = store(components(links), "first-components")
-    # 2. lists that are still open
-    members = classes.join(several, "g", "left_semi").join(
-        parts.withColumnRenamed("node_id", "rep"), "rep"
-    ).select("g", "rep", "component")
-    units = members.groupBy("g", "component").agg(F.min("rep").alias("unit"))
-    rows = shared.select("shingle", "g", "place").distinct().join(units, "g")
-    counts = rows.groupBy("shingle", "component").agg(F.count("*").alias("_n"))
-    open_ = counts.groupBy("shingle").agg(
-        F.count("*").alias("_parts"), F.max(F.struct("_n", "component")).alias("_main")
-    ).filter(F.col("_parts") > 1).select("shingle", F.col("_main.component").alias("_main"))
-    opened = store(
-        rows.join(open_, "shingle").withColumn("_outside", F.col("component") != F.col("_main")).drop("_main"), "open-lists"
-    )
+    # 2. neighbours in lists that are still open, each list in an order of its own
+    grouped = classes.join(several, "g", "left_semi").select("g", "rep")
+    opened, _, _ = _open_lists(shared, grouped, parts)
+    mixed_up = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "g", "component"), "g", "component")
+    tried = opened.select(
+        "unit", "component", "place", F.lag(F.struct("unit", "component", "place")).over(mixed_up).alias("_o")
+    ).filter(
+        F.col("_o").isNotNull() & (F.col("component") != F.col("_o.component")) & fits(F.col("place"), F.col("_o.place"))
+    ).select(*_pairs(F.col("unit"), F.col("_o.unit"))).distinct()
+    tried = store(tried.join(done, ["left", "right"], "left_anti"), "middle-pairs")
+    middle = store(verify(tried, sets, percent=percent), "middle-links")
+    if not middle.isEmpty():
+        done, links = done.unionByName(tried), links.unionByName(middle)
+        parts = store(components(links), "middle-components")
+    # 3. all that is still open
+    opened, members, units = _open_lists(shared, grouped, parts)
     one, two = opened.filter("_outside").alias("one"), opened.alias("two")
     crossing = one.join(two, F.col("one.shingle") == F.col("two.shingle")).filter(
         (F.col("one.component") != F.col("two.component"))
