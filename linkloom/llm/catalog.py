@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licences, lines, neardup_vectors, packing, quality, tokenids, warc  # noqa: F401
+from . import decontaminate, jaccard, licences, lines, neardup_vectors, packing, quality, substrings, tokenids, warc  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
