@@ -241,7 +241,8 @@ def read_records(index: DataFrame, path: str, *, payloads: bool = True) -> DataF
                     found, held = [], 0
             yield rows(found)
 
-    placed = index.repartition("file", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("file", "offset")
+    tasks = (index.agg(F.sum("size")).first()[0] or 0) // BLOCK + 1
+    placed = index.repartition(tasks, "file", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(read, RECORDS)
 
 
