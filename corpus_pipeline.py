@@ -1,8 +1,77 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, line dedup, near duplicates, benchmark passages, packing.
 
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep
+the columns of ``docs``. Stages read whole texts and need ``doc_id`` and ``text``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm.decontaminate import drop_leaks
+from linkloom.llm.jaccard import jaccard_components
+from linkloom.llm.lines import dedup_lines
+from linkloom.llm.packing import pack_documents
+from linkloom.llm.quality import fit_quality, held_out, score_quality
+from linkloom.llm.registry import table
+from linkloom.session import store
+
+#: Several stages are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("the stages are not written yet")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    scored = score_quality(docs, fit_quality(docs, labels), score="_score")
+    return scored.filter(F.col("_score") >= 0.5).drop("_score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take lines out that ten or more documents hold."""
+    return dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group; null ids are in no group."""
+    found = store(jaccard_components(docs), "near-duplicates")
+    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    repeated = store(
+        found.filter(F.col("n_shingles") > 0).groupBy("doc_id").count()
+        .filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"),
+        "repeated-ids",
+    )
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(
+            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        )
+    return kept.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark passage."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into windows of 1024 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is stored for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
