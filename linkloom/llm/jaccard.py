@@ -29,6 +29,8 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,6 +49,9 @@ FREQUENT = 500_000
 #: Shingles counted together in a task before repeats are sent on.
 WINDOW = 4_000_000
 
+#: Parts of the hash range counted per set, for a bound of overlaps.
+PARTS = 128
+
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -75,13 +80,26 @@ class Order:
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
         self.frequent, self.counts = frequent, counts
 
-    def sort(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return shingles
+    def _ranks(self, shingles: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.frequent, shingles)
         at[at == len(self.frequent)] = 0
-        rank = np.where(self.frequent[at] == shingles, self.counts[at], 0)
-        return shingles[np.lexsort((shingles, rank))]
+        return np.where(self.frequent[at] == shingles, self.counts[at], 0)
+
+    def prefix(self, shingles: np.ndarray, size: int) -> np.ndarray:
+        """The first ``size`` of some sorted shingles in this order."""
+        if not len(self.frequent):
+            return shingles[:size]
+        taken = size
+        while True:  # look no further than rare ones fill the prefix
+            head = shingles[:taken]
+            ranks = self._ranks(head)
+            rare = head[ranks == 0]
+            if len(rare) >= size or taken == len(shingles):
+                break
+            taken = min(len(shingles), taken + 2 * (size - len(rare)))
+        often = ranks > 0
+        last = head[often][np.lexsort((head[often], ranks[often]))]
+        return np.concatenate((rare, last))[:size]
 
 
 def frequent_shingles(docs: DataFrame, *, limit: int = FREQUENT, width: int = WIDTH) -> Order:
@@ -134,23 +152,32 @@ def _columns(rows: list[tuple], names: str, kinds: str) -> pa.RecordBatch:
 
 
 def document_classes(docs: DataFrame, order, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, n, a, b, g)``: the size of each document's set, its class and its group."""
+    """``(doc_id, t, n, a, b, g, parts)``: the size of each document's set, its class and group.
+
+    ``parts`` counts the shingles in each of ``PARTS`` parts of the hash range; the sum
+    of smaller counts bounds the overlap of two sets from above.
+    """
 
     def describe(batches):
         for batch in hashing.text_steps(batches):
             rows = []
-            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch, width), strict=True):
-                rows.append((doc_id, len(shingles), *_fingerprints(shingles), _group(order.value, shingles, percent)))
-            yield _columns(rows, "doc_id n a b g", "lllll")
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), strict=True)
+            for (doc_id, t), shingles in zip(keys, shingle_sets(batch, width), strict=True):
+                parts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype("<u4")
+                group = _group(order.value, shingles, percent)
+                rows.append((doc_id, t, len(shingles), *_fingerprints(shingles), group, parts.tobytes()))
+            yield _columns(rows, "doc_id t n a b g parts", "llllllb")
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, a long, b long, g long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(
+        describe, "doc_id long, t long, n long, a long, b long, g long, parts binary"
+    )
 
 
 def _group(order: Order, shingles: np.ndarray, percent: int) -> int:
     """Names a group: the prefix, as a set, and the size."""
     if not len(shingles):
         return 0
-    prefix = order.sort(shingles)[: prefix_size(len(shingles), percent)]
+    prefix = order.prefix(shingles, prefix_size(len(shingles), percent))
     with np.errstate(over="ignore"):
         total = np.sum(hashing.mix(prefix ^ np.uint64(len(shingles))), dtype=np.uint64)
     return int(hashing.mix(total.reshape(1) + np.uint64(len(shingles)))[0].view(np.int64))
@@ -174,7 +201,7 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
                 if group in seen:
                     continue
                 seen.add(group)
-                prefix = order.value.sort(shingles)[: prefix_size(size, percent)]
+                prefix = order.value.prefix(shingles, prefix_size(size, percent))
                 shingles_.append(prefix)
                 groups.append(np.full(len(prefix), group, dtype=np.int64))
                 places.append((size << 32) + np.arange(len(prefix), dtype=np.int64))
@@ -187,29 +214,43 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
     return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(send, "shingle long, g long, place long")
 
 
-def stored_sets(docs: DataFrame, reps: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """``(rep, set)``: the whole sets of the documents that stand for a class."""
+def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The pairs ``(left, right)`` of class documents whose whole sets are similar; stored.
 
-    def sets(batches):
-        for batch in hashing.text_steps(batches):
-            rows = [
-                (doc_id, a, *_fingerprints(s), s.tobytes())
-                for doc_id, a, s in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("a").to_pylist(), shingle_sets(batch, width), strict=True
-                )
-            ]
-            # ids may repeat with other texts; the class tells which text is meant
-            yield _columns([(r[0], r[4]) for r in rows if r[1] == r[2]], "rep set", "lb")
+    Pairs that the counts by part rule out go first; whole sets travel for the others only.
+    """
+    sides = [
+        classes.select(F.col("rep").alias(side), F.col("parts").alias(f"_{side}"))
+        for side in ("left", "right")
+    ]
 
-    chosen = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id"), "a"), "doc_id")
-    return store(chosen.mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep"]), "shingle-sets")
+    def possible(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, PARTS).astype(np.int64)
+                for c in ("_left", "_right")
+            )
+            both, total = np.minimum(one, two).sum(axis=1), one.sum(axis=1) + two.sum(axis=1)
+            yield batch.select(["left", "right"]).filter(pa.array(100 * both >= percent * (total - both)))
 
+    likely = store(
+        pairs.join(sides[0], "left").join(sides[1], "right").select("left", "right", "_left", "_right")
+        .mapInArrow(possible, "left long, right long"),
+        "likely-pairs",
+    )
+    ends = likely.select(F.col("left").alias("rep")).unionByName(likely.select(F.col("right").alias("rep"))).distinct()
 
-def verify(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(left, right)`` whose whole sets are similar."""
-    joined = pairs.join(
-        sets.select(F.col("rep").alias("left"), F.col("set").alias("_l")), "left"
-    ).join(sets.select(F.col("rep").alias("right"), F.col("set").alias("_r")), "right")
+    def sets(batches):
+        for batch in hashing.text_steps(batches):
+            rows = zip(batch.column("rep").to_pylist(), shingle_sets(batch, width), strict=True)
+            yield _columns([(rep, shingles.tobytes()) for rep, shingles in rows], "rep set", "lb")
+
+    stored = store(texts.join(ends, "rep", "left_semi").mapInArrow(sets, "rep long, set binary"), "shingle-sets")
+    joined = likely.join(
+        stored.select(F.col("rep").alias("left"), F.col("set").alias("_l")), "left"
+    ).join(stored.select(F.col("rep").alias("right"), F.col("set").alias("_r")), "right")
 
     def compare(batches):
         for batch in batches:
@@ -220,7 +261,17 @@ def verify(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT) -> Data
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("left", "right", "_l", "_r").mapInArrow(compare, "left long, right long")
+    links = store(
+        joined.select("left", "right", "_l", "_r").mapInArrow(compare, "left long, right long"), "similar-pairs"
+    )
+    drop_finished(pairs.sparkSession)
+    return links
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps whose results are stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _pairs(one, other) -> list:
@@ -252,7 +303,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     described = store(document_classes(docs, order, percent=percent), "document-classes")
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = store(
-        described.filter(usable).groupBy("n", "a", "b", "g").agg(F.min("doc_id").alias("rep")), "shingle-classes"
+        described.filter(usable).groupBy("n", "a", "b", "g").agg(
+            F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"), F.first("parts").alias("parts")
+        ),
+        "shingle-classes",
     )
     heads = classes.groupBy("g").agg(F.min("rep").alias("head"), F.max("rep").alias("_last"))
     # 1. neighbours in the lists, and members of a group with its first
@@ -289,8 +343,16 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     several = shared.select("g").unionByName(
         heads.filter(F.col("head") != F.col("_last")).select("g")
     ).distinct()
-    sets = stored_sets(docs, classes.join(several, "g", "left_semi").select("rep", "a"))
-    links = store(verify(done, sets, percent=percent), "first-links")
+    # an id may have several texts; the hash tells which one stands for the class
+    texts = store(
+        docs.withColumn("_t", F.xxhash64("text")).join(
+            classes.join(several, "g", "left_semi").select(F.col("rep").alias("doc_id"), "t"),
+            "doc_id",
+        ).filter(F.col("_t") == F.col("t")).select(F.col("doc_id").alias("rep"), "t", "text").dropDuplicates(["rep", "t"]),
+        "class-texts",
+    )
+    drop_finished(spark)
+    links = similar(done, classes, texts, percent=percent)
     nodes = classes.select(F.col("rep").alias("node_id")).distinct()
 
     def components(edges):
@@ -307,7 +369,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
         F.col("_o").isNotNull() & (F.col("component") != F.col("_o.component")) & fits(F.col("place"), F.col("_o.place"))
     ).select(*_pairs(F.col("unit"), F.col("_o.unit"))).distinct()
     tried = store(tried.join(done, ["left", "right"], "left_anti"), "middle-pairs")
-    middle = store(verify(tried, sets, percent=percent), "middle-links")
+    middle = similar(tried, classes, texts, percent=percent)
     if not middle.isEmpty():
         done, links = done.unionByName(tried), links.unionByName(middle)
         parts = store(components(links), "middle-components")
@@ -334,7 +396,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     todo = store(
         rest.unionByName(within).distinct().join(done, ["left", "right"], "left_anti"), "second-pairs"
     )
-    more = store(verify(todo, sets, percent=percent), "second-links")
+    more = similar(todo, classes, texts, percent=percent)
     final = parts if more.isEmpty() else components(links.unionByName(more))
     known = classes.join(final.withColumnRenamed("node_id", "rep"), "rep").select("n", "a", "b", "component")
     return described.join(known, ["n", "a", "b"], "left").select(
