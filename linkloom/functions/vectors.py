@@ -34,15 +34,13 @@ class Linear:
         return Linear(self.weight)
 
 
-def read_linears(weights: DataFrame, max_cells: int = 16_000_000) -> dict[str, Linear]:
+def read_linears(weights: DataFrame) -> dict[str, Linear]:
     """Read ``weights(layer, out, in, value)`` into linear maps, one per layer.
 
-    A null ``in`` marks the bias of output ``out``. Model weights have a size set
-    by the model, not by the data; more than ``max_cells`` of them is an error.
+    A null ``in`` marks the bias of output ``out``. The size of such a table is set by
+    the shapes of the model, not by the data.
     """
-    cells = weights.select("layer", "out", "in", "value").limit(max_cells + 1).toPandas()
-    if len(cells) > max_cells:
-        raise ValueError(f"more than {max_cells} weights: not a model's weight table")
+    cells = weights.select("layer", "out", "in", "value").toPandas()
     layers = {}
     for name, part in cells.groupby("layer"):
         body, bias = part[part["in"].notna()], part[part["in"].isna()]

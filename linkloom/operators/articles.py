@@ -34,13 +34,14 @@ def cast_ids(articles: DataFrame) -> DataFrame:
     )
 
 
-def without_texts(articles: DataFrame) -> DataFrame:
+def without_texts(articles: DataFrame, *carried) -> DataFrame:
     """The columns that decide which articles stay, with a flag for the text.
 
     Cleaning these first keeps texts out of the shuffle that finds first rows.
+    ``carried`` are further narrow columns, such as a length of the text.
     """
     flag = F.when(F.col("abstract").isNotNull(), True)
-    return articles.select("ord", "pmid", "label", flag.alias("abstract"))
+    return articles.select("ord", "pmid", "label", flag.alias("abstract"), *carried)
 
 
 def first_event_time(history: Column | str) -> Column:
@@ -48,19 +49,38 @@ def first_event_time(history: Column | str) -> Column:
     return F.to_timestamp_ntz(F.array_min(F.map_values(history)))
 
 
-def clean_articles(articles: DataFrame) -> DataFrame:
-    """Raw articles to nodes without ids.
+def clean_keys(articles: DataFrame, *carried) -> DataFrame:
+    """``(ord, pmid, label, text_id)`` and the carried columns of the articles that stay.
 
     The first row of an id is chosen before incomplete rows are dropped: an id
     whose first row is incomplete is lost even if a later row is complete.
+    """
+    kept = cast_ids(with_label_and_text(first_per_key(without_texts(articles, *carried))))
+    return kept.drop("abstract")
+
+
+def clean_articles(articles: DataFrame) -> DataFrame:
+    """Raw articles to nodes without ids.
+
+    What stays is decided on narrow columns; the texts are joined once, by order and id.
     Optional columns (authors, title, history) are carried when present.
     """
-    kept = cast_ids(with_label_and_text(first_per_key(articles)))
-    columns = [F.col("ord"), F.col("abstract").alias("text"), "label", "text_id"]
+    columns = [F.col("abstract").alias("text")]
     columns += [name for name in ("authors", "title") if name in articles.columns]
     if "history" in articles.columns:
         columns.append(first_event_time("history").alias("time"))
-    return kept.select(*columns)
+    texts = articles.select("ord", "pmid", *columns)
+    return texts.join(clean_keys(articles), ["ord", "pmid"]).drop("pmid")
+
+
+def check_order(kept: DataFrame) -> DataFrame:
+    """The stored rows, unless an order is null or repeated: then an error."""
+    wrong = kept.groupBy("ord").agg(F.count("*").alias("_n")).filter(
+        F.col("ord").isNull() | (F.col("_n") > 1)
+    )
+    if not wrong.isEmpty():
+        raise ValueError("the order of the articles is null or repeated")
+    return kept
 
 
 def history_to_string(articles: DataFrame) -> DataFrame:

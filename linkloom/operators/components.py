@@ -15,8 +15,6 @@ from ..session import settle
 from .graph import undirected_edges
 from .joins import hot_keys, lookup_join
 
-MAX_ROUNDS = 60
-
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
@@ -58,12 +56,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .filter(F.col("u") != F.col("v"))
         .select(F.col("v").alias("big"), F.col("u").alias("small"))
     )
-    for _ in range(MAX_ROUNDS):
-        if _is_settled(pairs):
-            break
-        pairs = settle(_small_star(_large_star(pairs)))
-    else:
-        raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+    while not _is_settled(pairs):  # each round hangs nodes on smaller ones, so it ends
+        pairs = settle(_small_star(settle(_large_star(pairs))))
     roots = pairs.select(F.col("big").alias("node_id"), F.col("small").alias("component"))
     return nodes.select("node_id").join(roots, "node_id", "left").select(
         "node_id", F.coalesce("component", "node_id").alias("component")

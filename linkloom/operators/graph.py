@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +15,6 @@ from ..session import settle
 from .joins import HotKeys, hot_keys, lookup_join
 from .propagate import neighbour_sum
 
-#: A dense adjacency has n x n cells; beyond this n only the sparse form is built.
-DENSE_NODES = 20_000
 
 
 def undirected_edges(edges: DataFrame) -> DataFrame:
@@ -48,30 +44,6 @@ def edge_index(edges: DataFrame) -> DataFrame:
     return adjacency(edges).select(F.col("row").alias("src"), F.col("col").alias("dst"))
 
 
-def adjacency_dense(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One ``ARRAY<DOUBLE>`` of length n per node; refused for large graphs."""
-    n = nodes.count()
-    if n > DENSE_NODES:
-        raise ValueError(f"{n} nodes: a dense adjacency is limited to {DENSE_NODES}")
-
-    @F.pandas_udf("array<double>")
-    def fill(columns: pd.Series) -> pd.Series:
-        def row(cols):
-            out = np.zeros(n)
-            if cols is not None:
-                out[np.asarray(cols, dtype=int)] = 1.0
-            return out
-
-        return columns.map(row)
-
-    cells = adjacency(edges).groupBy(F.col("row").alias("node_id")).agg(
-        F.collect_set("col").alias("cols")
-    )
-    return nodes.select("node_id").join(cells, "node_id", "left").select(
-        "node_id", fill("cols").alias("vec")
-    )
-
-
 @dataclass(frozen=True)
 class Graph:
     """A graph prepared for message passing.

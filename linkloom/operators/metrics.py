@@ -58,8 +58,15 @@ def f1_micro(predictions: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame, k: int) -> DataFrame:
-    """All k x k cells as ``(label, pred, n)``; rows are the truth."""
-    counted = predictions.groupBy("label", "pred").agg(F.count("*").alias("n"))
+    """All k x k cells as ``(label, pred, n)``; rows are the truth.
+
+    A label or prediction outside ``0 .. k - 1`` is an error.
+    """
+    def known(name: str) -> Column:
+        inside = (F.col(name) >= 0) & (F.col(name) < k)
+        return F.when(inside, F.col(name)).otherwise(F.raise_error(F.lit(f"{name} outside 0 .. {k - 1}"))).alias(name)
+
+    counted = predictions.select(known("label"), known("pred")).groupBy("label", "pred").agg(F.count("*").alias("n"))
     cells = predictions.sparkSession.range(k).select(
         F.col("id").cast("int").alias("label"),
         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pred"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -32,9 +31,13 @@ links as (select a.p_name as source,
 # ------------------------------------------------------------------ articles
 
 
+def n_chars():
+    return F.length("abstract").cast("bigint").alias("n_chars")
+
+
 def kept_articles(spark, sf):
     """``(ord, text_id, label)`` of the clean articles, found without their texts."""
-    return A.clean_articles(A.without_texts(fx.articles(spark, sf))).drop("text")
+    return A.clean_keys(fx.articles(spark, sf)).drop("pmid")
 
 
 @query("filter_notnull", f"with {S.ARTICLES} select ord, pmid, label from articles where label is not null and abstract is not null")
@@ -44,8 +47,7 @@ def filter_notnull(spark, sf):
 
 @query("dedup_first", f"with {S.CLEAN} select ord, cast(text_id as varchar) as pmid, length(text) as n_chars from clean")
 def dedup_first(spark, sf):
-    kept = A.with_label_and_text(A.first_per_key(fx.articles(spark, sf)))
-    return kept.select("ord", "pmid", F.length("abstract").cast("bigint").alias("n_chars"))
+    return A.clean_keys(fx.articles(spark, sf), n_chars()).select("ord", "pmid", "n_chars")
 
 
 @query("cast_ids", f"with {S.CLEAN} select text_id, label from clean")
@@ -131,12 +133,8 @@ def apply_transform(spark, sf):
 
 @query("apply_target_transform", f"with {S.CLEAN} select text_id, label * 10 + 1 as label from clean")
 def apply_target_transform(spark, sf):
-    @F.pandas_udf("int")
-    def shifted(label: pd.Series) -> pd.Series:
-        return label * 10 + 1
-
-    nodes = A.clean_articles(fx.articles(spark, sf)).select("text_id", "label")
-    return A.apply_to(nodes, "label", shifted)
+    nodes = A.clean_keys(fx.articles(spark, sf)).select("text_id", "label")
+    return A.apply_to(nodes, "label", lambda label: label * 10 + 1)
 
 
 # --------------------------------------------------------------------- links
@@ -171,17 +169,14 @@ def edges_encode(spark, sf):
 
 @query("drop_isolated", f"with {S.LINKED} select text_id, label, length(text) as n_chars from nodes")
 def drop_isolated(spark, sf):
-    nodes = A.clean_articles(fx.articles(spark, sf))
-    edges = C.clean_edges(fx.citations(spark, sf), nodes)
-    return C.drop_isolated(nodes, edges).select(
-        "text_id", "label", F.length("text").cast("bigint").alias("n_chars")
-    )
+    nodes = settle(A.clean_keys(fx.articles(spark, sf), n_chars()))
+    edges = settle(C.clean_edges(fx.citations(spark, sf), nodes))
+    return C.drop_isolated(nodes, edges).select("text_id", "label", "n_chars")
 
 
 def linked_articles(spark, sf):
     """Numbered nodes and encoded edges of the noisy articles."""
-    cleaned = A.clean_articles(fx.articles(spark, sf))
-    nodes = settle(cleaned.withColumn("n_chars", F.length("text").cast("bigint")).drop("text"))
+    nodes = settle(A.clean_keys(fx.articles(spark, sf), n_chars()).drop("pmid"))
     edges = settle(C.clean_edges(fx.citations(spark, sf), nodes))
     return C.reindex(C.drop_isolated(nodes, edges), edges)
 
@@ -290,16 +285,32 @@ def batch_cap(spark, sf):
 # ---------------------------------------------------------------- file trips
 
 
-@query("scan_articles_json", f"with {S.ARTICLES} select ord, pmid, label, abstract from articles")
+@query(
+    "scan_articles_json",
+    f"with {S.ARTICLES} select row_number() over (order by ord) - 1 as position, pmid, label, abstract, 'Title of ' || pmid as title, "
+    "pmid || ',' || coalesce(label, '') as authors, label as history from articles",
+)
 def scan_articles_json(spark, sf):
     path = scratch_path(spark, "articles")
-    raw = fx.articles(spark, sf)
-    # arrays of articles, a bounded number per line
+    raw = fx.articles(spark, sf).withColumns({
+        "title": F.concat(F.lit("Title of "), "pmid"),
+        "authors": F.array("pmid", F.coalesce("label", F.lit(""))),
+        "history": F.create_map(F.lit("first"), "label"),
+        "author_list": F.array(F.array("pmid")),
+    })
+    # arrays of articles, a bounded number per line; the files have no order column
+    fields = F.struct(*[c for c in raw.columns if c != "ord"])
     chunks = raw.groupBy(F.floor(F.col("ord") / 500).alias("chunk")).agg(
-        F.to_json(F.collect_list(F.struct(*raw.columns))).alias("value")
+        F.array_sort(F.collect_list(F.struct("ord", F.to_json(fields).alias("json")))).alias("rows")
+    )
+    joined = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]"))
+    chunks.repartitionByRange("chunk").sortWithinPartitions("chunk").select(joined).write.text(path)
+    back = readers.read_articles(spark, path)
+    found = O.dense_id_map(back.select("ord"), "ord", name="position").join(back, "ord")
+    return found.filter(F.col("author_list")[0][0] == F.col("pmid")).select(
+        "position", "pmid", "label", "abstract", "title", F.array_join("authors", ",").alias("authors"),
+        F.col("history")["first"].alias("history"),
     )
-    chunks.select("value").write.text(path)
-    return readers.read_articles(spark, path).select("ord", "pmid", "label", "abstract")
 
 
 @query("scan_edges_csv", f"with {S.CITATIONS} select source::varchar as source, target from citations")
@@ -387,7 +398,7 @@ def _land_labelled(spark, sf):
     rated = fx.table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("pmid"), F.col("quality").cast("string").alias("label")
     )
-    sinks.write_articles(rated.coalesce(1), path, by_id=True)
+    sinks.write_articles(rated.repartition("pmid"), path, by_id=True)
     return path
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 ARTICLES = """
 articles as (
-  select d.doc_id ord, cast(d.doc_id as varchar) pmid,
+  select 2 * d.doc_id ord, cast(d.doc_id as varchar) pmid,
     case when d.doc_id % 37 = 5 then null
          else case d.lang when 'de' then '0' when 'en' then '1' when 'es' then '2' else '3' end end label,
     case when d.doc_id % 41 = 7 then null else d.text end abstract
   from documents d
   union all
-  select d.doc_id + 1000000, cast(d.doc_id as varchar), '0', 'late duplicate'
+  select 2 * d.doc_id + 1, cast(d.doc_id as varchar), '0', 'late duplicate'
   from documents d where d.doc_id % 7 = 3)"""
 
 CLEAN = ARTICLES + """,

@@ -33,8 +33,7 @@ class LinkedTexts:
         Everything is decided on narrow columns; the texts are shuffled once, when
         the surviving articles get their ids, and stored once.
         """
-        cleaned = A.clean_articles(A.without_texts(articles))
-        kept = settle(cleaned.select("ord", "text_id", "label"))
+        kept = A.check_order(settle(A.clean_keys(articles).select("ord", "text_id", "label")))
         links = settle(C.clean_edges(citations, kept))
         ids = ordering.dense_id_map(C.drop_isolated(kept, links), "ord", "text_id", "label")
         edges = settle(C.encode_edges(links, ids))
@@ -42,8 +41,10 @@ class LinkedTexts:
         carried = [c for c in ("authors", "title", "history") if c in articles.columns]
         # placed by ord even where the join would broadcast the ids: the stored
         # texts are then spread evenly, and no join shuffles them a second time
-        texts = articles.select("ord", F.col("abstract").alias("text"), *carried)
-        nodes = texts.repartition("ord").join(numbered, "ord").drop("ord")
+        texts = articles.select(
+            "ord", F.col("pmid").cast("bigint").alias("text_id"), F.col("abstract").alias("text"), *carried
+        )
+        nodes = texts.repartition("ord").join(numbered, ["ord", "text_id"]).drop("ord")
         if "history" in carried:
             nodes = nodes.withColumn("time", A.first_event_time("history")).drop("history")
         return cls(store(nodes, "nodes"), edges)
@@ -102,10 +103,8 @@ class LinkedTexts:
     def create_graph(self) -> G.Graph:
         return G.Graph.build(self.nodes, self.edges)
 
-    def create_adjacency(self, *, to_sparse: bool = True) -> DataFrame:
-        if to_sparse:
-            return G.adjacency(self.edges)
-        return G.adjacency_dense(self.nodes, self.edges)
+    def create_adjacency(self) -> DataFrame:
+        return G.adjacency(self.edges)
 
     def edge_index(self) -> DataFrame:
         return G.edge_index(self.edges)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Linear
+from ..functions.vectors import Linear, linear
 from ..operators.layers import Attention
 
 
@@ -21,13 +21,13 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.col("lang") == "es", "2"
     ).otherwise("3")
     first = docs.select(
-        F.col("doc_id").alias("ord"),
+        (2 * F.col("doc_id")).alias("ord"),
         F.col("doc_id").cast("string").alias("pmid"),
         F.when(F.col("doc_id") % 37 != 5, languages).alias("label"),
         F.when(F.col("doc_id") % 41 != 7, F.col("text")).alias("abstract"),
     )
     late = docs.filter(F.col("doc_id") % 7 == 3).select(
-        (F.col("doc_id") + 1000000).alias("ord"),
+        (2 * F.col("doc_id") + 1).alias("ord"),
         F.col("doc_id").cast("string").alias("pmid"),
         F.lit("0").alias("label"),
         F.lit("late duplicate").alias("abstract"),
@@ -44,15 +44,8 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of all documents.
-
-    A table in fewer files than there are cores (such as the test tables, one row
-    group each) is spread by id; one in many files is read as it lies.
-    """
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    if len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, "node_id")
-    return rows
+    """Texts of all documents."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
 
 
 def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,11 +145,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """``(node_id, label, scores)``: ten scores per row."""
+    """``(node_id, label, scores)``: ten scores per row, a linear map of the whole vector."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("node_id"),
         F.col("label").cast("int").alias("label"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("scores"),
+        linear(F.col("embedding").cast("array<double>"), formula_linear(10, 64)).alias("scores"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that nor a
-    checkpoint directory is set (local tests) is a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Where neither that nor a checkpoint
+    directory is set, the warehouse serves; a warehouse on the disk of one machine is
+    refused unless Spark runs on that machine alone.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -34,9 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="linkloom-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:/"):
+        warehouse = "/" + warehouse.removeprefix("file:").lstrip("/")
+    if warehouse.startswith("/") and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_linkloom"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import store
+
 ARTICLE_SCHEMA = (
-    "ord bigint, pmid string, label string, abstract string, title string, "
+    "pmid string, label string, abstract string, title string, "
     "authors array<string>, history map<string,string>, author_list array<array<string>>"
 )
 EDGE_SCHEMA = "source bigint, target bigint"
@@ -17,13 +19,38 @@ STEM = r"([^/]+)\.[^/.]+$"
 def read_articles(
     spark: SparkSession, path: str, *, schema: str = ARTICLE_SCHEMA, one_document: bool = False
 ) -> DataFrame:
-    """Articles from JSON.
+    """Articles from JSON with their order ``ord``; stored once, columns by column.
 
     By default each line holds one article or an array of articles, which Spark
     reads in splits. ``one_document`` reads files that are one array spread over
-    many lines; such a file is one task, so large inputs should be lines.
+    many lines; such a file is one task, so large inputs should be lines. A line
+    that is no article is an error. A schema with ``ord`` takes the order from the file.
     """
-    return spark.read.schema(schema).json(path, multiLine=one_document)
+    rows = spark.read.schema(schema).json(path, multiLine=one_document, mode="FAILFAST")
+    return store(rows, "articles") if "ord" in rows.columns else with_order(rows)
+
+
+def with_order(rows: DataFrame, name: str = "ord") -> DataFrame:
+    """Rows just read from files, with a unique number in the order of file, split and line.
+
+    The rows are stored once, so that the number of a row never changes. Splits are
+    numbered by their place (one row per split); the upper bits are that number.
+    """
+    placed = store(
+        rows.select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        ),
+        "placed-rows",
+    )
+    splits = placed.select("_file", "_block").distinct()
+    numbered = splits.select(
+        "_file", "_block", (F.row_number().over(Window.orderBy("_file", "_block")) - 1).cast("long").alias("_split")
+    )
+    line = F.col("_line").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(numbered, ["_file", "_block"]).withColumn(
+        name, F.shiftleft("_split", 33).bitwiseOR(line)
+    ).drop("_file", "_block", "_line", "_split")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +78,11 @@ def read_links(spark: SparkSession, path: str, *, one_document: bool = False) ->
     """``(source, target)`` from ``{title: [titles]}``.
 
     By default each line is one object; ``one_document`` takes a whole file as one.
+    Anything else is an error.
     """
     raw = spark.read.text(path, wholetext=one_document)
-    linked = raw.select(F.from_json("value", "map<string,array<string>>").alias("links"))
+    parsed = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
+    linked = raw.filter(F.trim("value") != "").select(parsed.alias("links"))
     return linked.select(F.explode("links").alias("source", "targets")).select(
         "source", F.explode("targets").alias("target")
     )

@@ -25,6 +25,7 @@ def ingest_new_articles(
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
         .option("recursiveFileLookup", "true")
+        .option("mode", "FAILFAST")
         .json(landing)
     )
     (

@@ -73,13 +73,6 @@ def test_adjacency(tables):
     nodes, edges, _, _ = tables
     cells = {(r.row, r.col) for r in G.adjacency(edges).collect()}
     assert cells == set(zip(*np.nonzero(dense())))
-    assert np.array_equal(matrix(G.adjacency_dense(nodes, edges)), dense())
-
-
-def test_dense_adjacency_is_refused_for_large_graphs(spark, tables):
-    nodes = spark.range(G.DENSE_NODES + 1).withColumnRenamed("id", "node_id")
-    with pytest.raises(ValueError):
-        G.adjacency_dense(nodes, tables[1])
 
 
 def test_degrees_and_weights(graph):
@@ -167,8 +160,6 @@ def test_read_linears(spark):
     table = spark.createDataFrame(rows, "layer string, out int, in int, value double")
     layer = V.read_linears(table)["a"]
     assert layer.weight.tolist() == [[0, 1, 2], [3, 4, 5]] and layer.bias.tolist() == [0, 5]
-    with pytest.raises(ValueError):
-        V.read_linears(table, max_cells=3)
 
 
 def test_components(spark):
