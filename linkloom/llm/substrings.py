@@ -36,8 +36,8 @@ from .registry import query, table
 
 WIDTH = 35
 GRAM = 6
-#: Classes of one anchor that may share an automaton.
-WIDE = 500
+#: Classes of one anchor that may share an automaton: some 100,000 words, about 100 MB.
+WIDE = 2000
 #: Words of one automaton, from which on a new shard begins.
 SHARD = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
