@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.vectors import as_ml_vector
 from ..session import settle
 from .fusion import FUSIONS
@@ -25,6 +27,9 @@ from .metrics import classify, metrics_report, nll
 class Trained:
     model: LogisticRegressionModel
     predictions: DataFrame
+    #: ``(node_id, label, mode, features)``: what was learnt from and predicted.
+    rows: DataFrame
+    reg: float
 
 
 def smooth(graph: Graph, vectors: DataFrame, hops: int) -> DataFrame:
@@ -36,7 +41,13 @@ def smooth(graph: Graph, vectors: DataFrame, hops: int) -> DataFrame:
 
 
 def fit_and_predict(
-    nodes: DataFrame, vectors: DataFrame, *, max_iter: int = 50, reg: float = 0.001
+    nodes: DataFrame,
+    vectors: DataFrame,
+    *,
+    max_iter: int = 50,
+    reg: float = 0.001,
+    tol: float = 1e-6,
+    standardize: bool = True,
 ) -> Trained:
     """Fit on train rows, predict all rows.
 
@@ -49,16 +60,58 @@ def fit_and_predict(
         )
     )
     learner = LogisticRegression(
-        featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg
+        featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter,
+        regParam=reg, tol=tol, standardization=standardize,
     )
     model = learner.fit(rows.filter(F.col("mode") == "train"))
     scored = model.transform(rows).select(
-        "node_id", "label", "mode", vector_to_array("probability").alias("scores")
+        "node_id", "label", "mode", vector_to_array("rawPrediction").alias("scores")
     )
     predictions = classify(scored).withColumn(
-        "loss", nll(F.transform("scores", lambda p: F.ln(F.greatest(p, F.lit(1e-300)))), F.col("label"))
+        "loss", nll(V.log_softmax(F.col("scores")), F.col("label"))
+    ).withColumn("scores", F.transform(V.log_softmax(F.col("scores")), F.exp))
+    return Trained(model, predictions, rows, reg)
+
+
+def learnt_map(model: LogisticRegressionModel) -> V.Linear:
+    return V.Linear(model.coefficientMatrix.toArray(), model.interceptVector.toArray())
+
+
+def largest_gradient(done: Trained) -> float:
+    """The largest entry of the gradient of the regularised loss at the learnt weights.
+
+    It is zero only at the optimum. Only for models fitted without standardising. The sums
+    have one cell per weight; the rows are summed in Spark.
+    """
+    layer = learnt_map(done.model)
+    train = done.rows.filter(F.col("mode") == "train").withColumn("_x", V.as_array(done.rows, "features"))
+    wrong = F.zip_with(
+        F.transform(V.log_softmax(V.linear(F.col("_x"), layer)), F.exp),
+        V.one_hot(F.col("label"), layer.n_out), lambda p, y: p - y,
+    )
+    # the bias is the weight of an entry that is always 1
+    entries = F.concat(F.col("_x"), F.array(F.lit(1.0)))
+    sums = (
+        train.select(entries.alias("_x"), wrong.alias("_r"))
+        .select(F.posexplode("_x").alias("dim", "x"), "_r").filter(F.col("x") != 0)
+        .groupBy("dim").agg(*[F.sum(F.col("x") * F.col("_r")[k]).alias(f"c{k}") for k in range(layer.n_out)])
+    ).collect()
+    weights = np.append(layer.weight, np.zeros((layer.n_out, 1)), axis=1) * done.reg
+    gradient, count = weights, train.count()
+    for row in sums:
+        gradient[:, row["dim"]] += np.array(row[1:]) / count
+    return float(np.abs(gradient).max())
+
+
+def training_report(done: Trained, *, bound: float = 1e-4) -> DataFrame:
+    """Per split: rows, whether predictions follow the learnt map, whether it is optimal."""
+    scores = V.linear(V.as_array(done.rows, "features"), learnt_map(done.model))
+    return (
+        done.rows.select("node_id", "mode", V.argmax(scores).alias("_best"))
+        .join(done.predictions.select("node_id", "pred"), "node_id")
+        .groupBy("mode").agg(F.count("*").alias("n"), F.every(F.col("_best") == F.col("pred")).alias("agrees"))
+        .withColumn("optimal", F.lit(largest_gradient(done) < bound))
     )
-    return Trained(model, predictions)
 
 
 def train_node_classifier(

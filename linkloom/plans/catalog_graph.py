@@ -361,25 +361,31 @@ def _labelled(spark, sf):
     return O.split(rows, seed=1)
 
 
-@query("train_node_classifier")
+PRED = """preds as (select vec_id as node_id, label::integer as label,
+  ((label + case when vec_id % 4 = 0 then 1 + vec_id % 3 else 0 end) % 10)::integer as pred from embeddings)"""
+PRED_SPLIT = f"{PRED}, sp as (select node_id, label, pred, {S.MODE} as mode from {S.split_sql('preds', chr(39) + '1' + chr(39))})"
+#: Fits to the optimum, so that the gradient can be checked.
+EXACT = {"max_iter": 2000, "tol": 1e-12, "standardize": False}
+TRAINED = "select mode, count(*) as n, true as agrees, true as optimal"
+
+
+@query("train_node_classifier", f"with {PRED_SPLIT} {TRAINED} from sp group by 1")
 def train_node_classifier(spark, sf):
-    done = training.train_node_classifier(vector_graph(spark, sf), _labelled(spark, sf), x0(spark, sf))
-    return done.predictions.select("node_id", "mode", "label", "pred")
+    return training.training_report(
+        training.train_node_classifier(vector_graph(spark, sf), _labelled(spark, sf), x0(spark, sf), **EXACT)
+    )
 
 
-@query("train_fused_classifier")
+@query("train_fused_classifier", f"with {PRED_SPLIT} {TRAINED} from sp group by 1")
 def train_fused_classifier(spark, sf):
     done = training.train_fused_classifier(
-        vector_graph(spark, sf), _labelled(spark, sf), x0(spark, sf), fusion="concat"
+        vector_graph(spark, sf), _labelled(spark, sf), x0(spark, sf), fusion="concat", **EXACT
     )
-    return done.predictions.select("node_id", "mode", "label", "pred")
+    return training.training_report(done)
 
 
 # -------------------------------------------------------------------- metrics
 
-PRED = """preds as (select vec_id as node_id, label::integer as label,
-  ((label + case when vec_id % 4 = 0 then 1 + vec_id % 3 else 0 end) % 10)::integer as pred from embeddings)"""
-PRED_SPLIT = f"{PRED}, sp as (select node_id, label, pred, {S.MODE} as mode from {S.split_sql('preds', chr(39) + '1' + chr(39))})"
 LOGP = "lp as (select node_id, label, list_transform(s, lambda x: x - list_max(s) - ln(list_sum(list_transform(s, lambda y: exp(y - list_max(s)))))) as p from sc)"
 BCE = "bce as (select node_id, label, list_avg(list_transform(s, lambda x, i: greatest(x, 0.0::double) - x * (case when label + 1 = i then 1 else 0 end) + ln(1 + exp(-abs(x))))) as loss from sc)"
 
@@ -521,8 +527,11 @@ def linked_tfidf_hop(spark, sf):
     return model.long(smoothed).withColumn("value", num("value"))
 
 
-@query("linked_classifier")
+@query(
+    "linked_classifier",
+    f"with {S.LINKED}, sp as (select node_id, {S.MODE} as mode from {S.split_sql('nodes', chr(39) + '1' + chr(39))}) {TRAINED} from sp group by 1",
+)
 def linked_classifier(spark, sf):
     """Noisy articles and links to predicted classes, end to end."""
     data = LinkedTexts.load(fx.articles(spark, sf), fx.citations(spark, sf))
-    return run_experiment(data).predictions.select("node_id", "mode", "label", "pred")
+    return training.training_report(run_experiment(data, **EXACT).trained)

@@ -16,6 +16,7 @@ from .dataset import LinkedTexts
 class Run:
     predictions: DataFrame
     metrics: DataFrame
+    trained: training.Trained
 
 
 def run_experiment(
@@ -51,4 +52,4 @@ def run_experiment(
         sinks.write_nodes(data.nodes, f"{base}/data.csv")
         sinks.write_metrics(metrics, f"{base}/metrics")
         done.model.write().overwrite().save(f"{base}/model")
-    return Run(done.predictions, metrics)
+    return Run(done.predictions, metrics, done)
