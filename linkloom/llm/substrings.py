@@ -38,6 +38,9 @@ WIDTH = 35
 GRAM = 6
 #: Classes of one anchor that may share an automaton: some 100,000 words, about 100 MB.
 WIDE = 2000
+#: An anchor of more than 1/HEAVY_SHARE of all segments is matched by broadcast; there are
+#: fewer than HEAVY_SHARE such anchors.
+HEAVY_SHARE = 10_000
 #: Words of one automaton, from which on a new shard begins.
 SHARD = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -265,8 +268,16 @@ def repeated_windows(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """``(_k, _a, spans)``: for each text with repeats, runs ``[from, to)`` of window starts."""
     keyed = _keyed(docs)
     rows = store(_segment_rows(keyed, width), "segments")
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("anchor")
-    shared = store(rows.join(twice.hint("merge"), "anchor", "left_semi"), "shared-segments")
+    twice = store(rows.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1), "shared-anchors")
+    bound = rows.count() // HEAVY_SHARE + 1
+    heavy = F.broadcast(twice.filter(F.col("_n") > bound).select("anchor"))
+    light = twice.filter(F.col("_n") <= bound).select("anchor")
+    shared = store(
+        rows.join(heavy, "anchor", "left_semi").unionByName(
+            rows.join(heavy, "anchor", "left_anti").join(light.hint("merge"), "anchor", "left_semi")
+        ),
+        "shared-segments",
+    )
     classes = store(
         shared.groupBy("anchor", "words").agg(
             F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("_k", "_a", "place")]
