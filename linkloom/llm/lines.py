@@ -118,7 +118,7 @@ def dropped_lines(
     heavy = frequent.filter(F.col("docs") > bound).select("line")
     light = frequent.filter(F.col("docs") <= bound).select("line")
     found = narrow.join(F.broadcast(heavy), "line", "left_semi").unionByName(
-        narrow.join(light.hint("merge"), "line", "left_semi")
+        narrow.join(F.broadcast(heavy), "line", "left_anti").join(light.hint("merge"), "line", "left_semi")
     )
     lists = found.groupBy("_a", "_b").agg(F.collect_set("line").alias("_drop"))
     matched = keyed.join(lists, ["_a", "_b"], "left").withColumn(
