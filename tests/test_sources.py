@@ -98,3 +98,57 @@ def test_titled_pages_become_a_graph(spark):
     data = LinkedTexts.load_titled(pages, links)
     assert rows(data.nodes, "node_id", "text_id") == [(0, 1), (1, 3)]
     assert rows(data.edges, "src", "dst") == [(1, 0)]
+
+
+def _written(tmp_path, articles):
+    for part in range(2):
+        lines = [json.dumps(a) for a in articles[part::2]]
+        (tmp_path / f"{part}.json").write_text("\n".join(lines))
+    return str(tmp_path)
+
+
+def test_articles_without_order_load_completely(spark, tmp_path):
+    from linkloom.plans.dataset import LinkedTexts
+
+    ids = [3, 1000003, 5, 7, 8, 9]
+    path = _written(tmp_path, [{"pmid": str(i), "label": "1", "abstract": f"text {i}"} for i in ids])
+    links = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])], "source long, target long")
+    nodes = LinkedTexts.load(readers.read_articles(spark, path), links).nodes.orderBy("node_id").collect()
+    in_file_order = ids[0::2] + ids[1::2]
+    assert [(r.node_id, r.text_id, r.text) for r in nodes] == [(n, i, f"text {i}") for n, i in enumerate(in_file_order)]
+
+
+def test_repeated_order_and_cut_off_lines_are_errors(spark, tmp_path):
+    from linkloom.plans.dataset import LinkedTexts
+
+    links = spark.createDataFrame([(1, 2)], "source long, target long")
+    for order in (0, None):
+        rows = [(order, "1", "1", "a"), (order, "2", "1", "b")]
+        twice = spark.createDataFrame(rows, "ord long, pmid string, label string, abstract string")
+        with pytest.raises(ValueError, match="order"):
+            LinkedTexts.load(twice, links)
+    (tmp_path / "cut.json").write_text('[{"pmid": "1", "abstract": "a"}, {"pmid": "2", "abst')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        readers.read_articles(spark, str(tmp_path)).collect()
+    (tmp_path / "links.txt").write_text('{"a": ["b"]}\n{"a": ["c"')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        readers.read_links(spark, str(tmp_path / "links.txt")).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from linkloom.session import shared_dir
+
+    def spark_on(master, warehouse, checkpoint=None):
+        settings = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": checkpoint}
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key) or default)
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(spark_on("local[8]", "file:/w")) == "/w/_linkloom"
+    assert shared_dir(spark_on("spark://h:7077", "hdfs://h/w")) == "hdfs://h/w/_linkloom"
+    assert shared_dir(spark_on("spark://h:7077", "file:/w", "file:///shared/")) == "file:///shared"
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="shar"):
+            shared_dir(spark_on(master, "file:/w"))
