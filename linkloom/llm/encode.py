@@ -33,16 +33,48 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """Encodes by pieces; with ``added``, texts are split at the added tokens first.
+
+    Without it, an added token in a text is written out like any other word.
+    """
+
+    def __init__(self, path: str, *, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # pieces hold no added token once texts are split
         self.tokenizer.encode_special_tokens = True
+        self.added, self.split = {}, None
+        if added:
+            self._split_at_added()
         (self.newline,) = self._ids("\n")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _split_at_added(self) -> None:
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        for token in tokens.values():
+            # these flags take neighbouring signs into the match or undo it
+            if token.lstrip or token.rstrip or token.single_word or (token.normalized and self.tokenizer.normalizer):
+                raise ValueError(f"texts are not split at an added token like {token!r}")
+        self.added = {token.content: np.array([i], dtype="<u4").tobytes() for i, token in tokens.items()}
+        if self.added:
+            longest_first = sorted(self.added, key=len, reverse=True)
+            self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text; an added token is a piece of its own."""
+        if self.split is None:
+            return _PIECES.findall(text)
+        pieces: list[str] = []
+        for i, part in enumerate(self.split.split(text)):
+            if i % 2:
+                pieces.append(part)
+            else:
+                pieces += _PIECES.findall(part)
+        return pieces
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -50,7 +82,9 @@ class Encoder:
         """Encode new pieces, one to a line; those with white space other than a first blank alone."""
         lines = []
         for piece in pieces:
-            if piece.isspace():
+            if piece in self.added:
+                self.known[piece] = self.added[piece]
+            elif piece.isspace():
                 self.known[piece] = np.array(self._ids(piece), dtype="<u4").tobytes()
             else:
                 lines.append(piece)
@@ -67,7 +101,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        cut = [_PIECES.findall(text) if text else [] for text in texts]
+        cut = [self._cut(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older, new = self.known, self.older, []
@@ -87,5 +121,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker."""
-    return Encoder(path)
+    """One encoder per worker, with the ids of the plain call."""
+    return Encoder(path, added=True)

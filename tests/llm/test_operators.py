@@ -243,6 +243,28 @@ def test_encoder_equals_whole_texts(tokenizer):
         assert np.frombuffer(ours.encode([text])[0], dtype="<u4").tolist() == tokenizer(text)[:-1], repr(text)
 
 
+def test_added_tokens_as_in_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(encode.tokenizer_path())
+    draw, ours = random.Random(2), encode.encoder(encode.tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"\n\n{end}", end, f"{end}{end}", f"x{end}\n\n\nb", f"<|endof{end}text|>", f" {end} ", "a < | b", "", None]
+    signs = [end, end, "<|", "|>", "endoftext", *"ab!1'  \n\n\t\x1c\x85　é中", "'s"]
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randint(0, 14))) for _ in range(2000)]
+    want = [plain.encode(text or "", add_special_tokens=False).ids for text in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    got = [np.frombuffer(ids, dtype="<u4").tolist() for ids in ours.encode(texts)]
+    assert [(t, g) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    docs = spark.createDataFrame(list(enumerate(texts[:8])), "doc_id long, text string")
+    path = scratch_path(spark, "ids")
+    manifest = tokenids.write_ids(docs, path, tokenizer=encode.tokenizer_path())
+    read = {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in tokenids.read_ids(spark, path, manifest).collect()}
+    assert read == {i: [*ids, 0] for i, ids in enumerate(want[:8])}
+    tokens = {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs).collect()}
+    assert tokens == {i: len(ids) + 1 for i, ids in enumerate(want[:8])}
+
+
 def test_directly_addressable_codes():
     ids = np.random.default_rng(1).integers(0, 70_000, 3000).astype("<u4")
     segment = tokenids.Segment(tokenids.pack_segment(ids))
