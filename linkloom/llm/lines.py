@@ -1,9 +1,13 @@
-"""Operator 10: line dedup with levelled sorted runs of line hashes.
+"""Operator 10: line dedup with levelled runs of line hashes.
 
 A run is a Parquet table ``(line, docs)`` sorted by the 64-bit hash of the line key,
 with the number of documents of its batch that hold the line. New runs enter level 0;
 as soon as a level holds ``fanout`` runs they are merged into one run of the next
-level. A batch is then anti-joined with the runs by a merge join on the hash.
+level. A line drops by the number of documents that hold it, earlier or later, so all
+batches are added first, the runs are counted by a group on the hash, and the rows are
+semi-joined with the frequent lines (the very frequent ones by broadcast). No batch is
+anti-joined with the runs on the way; ``LineRuns.unseen`` is that step, for callers that
+drop by mere presence. Nothing relies on the sorted order of the runs.
 
 Only built-in functions are used. Defined cases: a null or empty text is one empty
 line; a line whose key is shorter than ``min_chars`` is never dropped; repeated rows
