@@ -10,8 +10,10 @@ The test items are a stated query set: they are collected in blocks of at most
 ``BLOCK_CHARS`` characters, each broadcast and run against all documents. Documents are
 never shuffled.
 
-Defined cases: items that are null or fold to fewer than ``min_chars`` characters are no
-evidence and match nothing; null or empty documents hold nothing; repeated items and
+Items that fold to fewer than ``min_chars`` characters have a budget of 0 and match only
+between word boundaries: next to a letter or digit of theirs, the text has none.
+
+Defined cases: items that are null or fold to nothing match nothing; null or empty documents hold nothing; repeated items and
 documents are reported each; an empty table gives no rows.
 """
 
@@ -70,13 +72,24 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over the start or the end of ``text[start:end]``."""
+    return not (
+        (start > 0 and text[start - 1].isalnum() and text[start].isalnum())
+        or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+    )
+
+
 class Matcher:
     """Finds test items in folded texts."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], chars_per_edit: int):
+    def __init__(self, items: tuple[tuple[int, str], ...], chars_per_edit: int, min_chars: int = 0):
         import ahocorasick
 
-        self.items = [(name, text, len(text) // chars_per_edit) for name, text in items]
+        self.min_chars = min_chars
+        self.items = [
+            (name, text, 0 if len(text) < min_chars else len(text) // chars_per_edit) for name, text in items
+        ]
         pieces: dict[str, list[tuple[int, int, int]]] = {}
         for number, (_, text, budget) in enumerate(self.items):
             for start, end in piece_bounds(len(text), budget):
@@ -93,10 +106,18 @@ class Matcher:
         if self.empty or not text:
             return []
         shifts: dict[int, set[int]] = {}
+        short: dict[int, int] = {}
         for last, places in self.automaton.iter(text):
             for number, _, end in places:
-                shifts.setdefault(number, set()).add(last + 1 - end)
-        found = []
+                start = last + 1 - end
+                if len(self.items[number][1]) >= self.min_chars:
+                    shifts.setdefault(number, set()).add(start)
+                elif number not in short and bounded(text, start, last + 1):
+                    short[number] = start
+        found = [
+            (self.items[number][0], len(self.items[number][1]), 0, 0, start, start + len(self.items[number][1]))
+            for number, start in short.items()
+        ]
         for number, starts in shifts.items():
             name, item, budget = self.items[number]
             best = None
@@ -122,23 +143,24 @@ class Matcher:
 
 
 @lru_cache(maxsize=1)
-def _matcher(items: tuple, chars_per_edit: int) -> Matcher:
-    return Matcher(items, chars_per_edit)
+def _matcher(items: tuple, chars_per_edit: int, min_chars: int) -> Matcher:
+    return Matcher(items, chars_per_edit, min_chars)
 
 
-def item_blocks(items: DataFrame, *, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS):
+def item_blocks(items: DataFrame, *, block_chars: int = BLOCK_CHARS):
     """The folded test items in blocks that a broadcast may hold."""
-    known = items.select("item_id", "text").filter(F.length("text") >= min_chars)
+    known = items.select("item_id", "text").filter(F.length("text") > 0)
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for block in range(blocks):
         part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(((r["item_id"], fold(r["text"])) for r in part.collect()), key=str)
-        yield tuple(row for row in rows if len(row[1]) >= min_chars)
+        yield tuple(row for row in rows if row[1])
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, *, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, **options
+    docs: DataFrame, items: DataFrame, *, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
+    min_chars: int = MIN_CHARS, **options
 ) -> DataFrame:
     """``(doc_id, item_id, item_chars, budget, distance, start, end)``: items found in documents.
 
@@ -153,7 +175,7 @@ def find_leaks(
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
-            matcher = _matcher(shared.value, chars_per_edit)
+            matcher = _matcher(shared.value, chars_per_edit, min_chars)
             for batch in hashing.text_steps(batches, text):
                 out = []
                 for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column(text).to_pylist(), strict=True):
@@ -169,14 +191,15 @@ def find_leaks(
 
 
 def drop_leaks(
-    docs: DataFrame, items: DataFrame, *, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT, **options
+    docs: DataFrame, items: DataFrame, *, text: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
+    min_chars: int = MIN_CHARS, **options
 ) -> DataFrame:
     """The documents that hold no test item; a filter without a shuffle."""
     for block in item_blocks(items, **options):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, shared=shared):
-            matcher = _matcher(shared.value, chars_per_edit)
+            matcher = _matcher(shared.value, chars_per_edit, min_chars)
             for batch in hashing.text_steps(batches, text):
                 clean = [not matcher.find(fold(body)) for body in batch.column(text).to_pylist()]
                 yield pc.filter(batch, pa.array(clean, pa.bool_()))

@@ -441,6 +441,19 @@ def test_leaks(spark, documents, odd, empty):
     assert decontaminate.drop_leaks(odd, more.limit(0)).count() == len(ODD)
 
 
+def test_short_items_match_exactly_between_words(spark):
+    items = spark.createDataFrame(
+        [(1, "What is 12 times 13?"), (2, "Paris"), (3, None), (4, " \n"), (5, "word " * 20)], "item_id long, text string"
+    )
+    texts = [
+        "Q: what  is 12\ntimes 13? A: 156", "what is 12 times 14?", "comparison, parish", "in (Paris), not parish", "somewhat is 12 times 13?", "",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.budget, r.distance, r.start, r.end) for r in found) == [(0, 1, 0, 0, 3, 23), (3, 2, 0, 0, 4, 9)]
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {1, 2, 4, 5, 9}
+
+
 # ------------------------------------------------------------- 10. lines
 
 
