@@ -34,20 +34,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; null ids are in no group."""
+    """Keep the document with the smallest id of each group; null ids are in no group.
+
+    Where an id occurs on several rows, each row is a document of its own: equal texts
+    leave one row, different texts under one id all stay, and so do empty texts.
+    """
+    counts = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
+    if not counts.filter(F.col("count") > 1).isEmpty():
+        return _near_duplicate_rows(docs)
     found = store(jaccard_components(docs), "near-duplicates")
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    repeated = store(
-        found.filter(F.col("n_shingles") > 0).groupBy("doc_id").count()
-        .filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"),
-        "repeated-ids",
+    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` by a number for each row; the rows are stored once to keep it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = store(docs.select(row, F.monotonically_increasing_id().alias("_key")), "numbered-rows")
+    known = rows.filter(F.col("_row.doc_id").isNotNull())
+    found = store(
+        jaccard_components(known.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))),
+        "near-duplicates",
+    ).select(F.col("doc_id").alias("_key"), "component_id")
+    order = F.struct(F.col("_row.doc_id"), F.xxhash64("_row.text"), F.col("_key"))
+    first = known.select("_key", order.alias("_order")).join(found, "_key").groupBy("component_id").agg(
+        F.min("_order")["_key"].alias("_key")
+    )
+    kept = known.join(first.select("_key"), "_key", "left_semi").select("_row")
+    return kept.unionByName(rows.filter(F.col("_row.doc_id").isNull()).select("_row")).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     )
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(
-            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        )
-    return kept.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -528,6 +528,19 @@ def test_pipeline(spark, tokenizer):
     assert {r.doc_id for r in rows} <= set(start)
 
 
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [
+        (1, one, "x"), (1, two, "x"), (2, one, "y"), (2, three, "y"), (3, three, "z"), (3, three, "z"),
+        (4, "", "x"), (4, two, "w"), (None, one, "n"), (None, one, "n"), (5, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(1, one, "x"), (1, two, "x"), (2, three, "y"), (4, "", "x"), (5, None, "x"), (None, one, "n"), (None, one, "n")]
+    assert rows_of(kept) == sorted(want, key=str)
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, empty):
     for docs in (odd, empty):
         rows = docs
