@@ -176,6 +176,23 @@ def test_licences_found(spark, documents, odd, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licence_within_a_longer_line(spark, documents):
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the Software."
+    )
+    prose = "We wrote this note in spring and it grew over time. Released under the MIT License. Write to us with any question or wish."
+    other = "The permission to visit was granted in spring, and the license of the driver was sent by the foundation to any person who asked."
+    made = spark.createDataFrame(list(enumerate([mit, prose, other])), "doc_id long, text string")
+    model = licences.LicenceModel.fit(documents)
+    found = {r.doc_id: (r.family, r.confirmed, r.similarity) for r in licences.scan_licences(made, model=model).collect()}
+    assert found[0][:2] == ("mit", True) and found[1][:2] == ("mit", True), found
+    assert not found[2][1], found
+
+
 # --------------------------------------------------------- 4. similar sets
 
 
