@@ -11,15 +11,14 @@ from linkloom.operators.graph import Graph
 from linkloom.plans import fixtures as fx
 from linkloom.plans.dataset import LinkedTexts
 from linkloom.plans.experiment import run_experiment
+from linkloom.plans.registry import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "train_node_classifier", "train_fused_classifier", "linked_classifier"
-    }
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry_has_rows(spark):
