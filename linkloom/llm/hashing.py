@@ -1,14 +1,16 @@
-"""Words of many texts at once: byte positions and 64-bit hashes, in numpy.
+"""Words of many texts at once: byte positions and hashes, in numpy.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash is a polynomial of
-random values per byte modulo 2**64, mixed at the end, so no Python code runs per
-word. Hashes depend on the bytes of the word alone: equal in every task and run.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash takes eight bytes after
+the other, each mixed into all 64 bits before the next, so that no relation between bytes
+at different places cancels out; no Python code runs per word. A second lane gives 128
+bits where a hash alone decides. Hashes depend on the bytes of the word alone: equal in
+every task and run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow.compute as pc
@@ -21,53 +23,53 @@ STEP = 4 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_LETTERS = np.random.Generator(np.random.PCG64(20261)).integers(
-    1, 2**63, size=256, dtype=np.uint64
-) * np.uint64(2) + np.uint64(1)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = np.arange(97, 123)
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+#: A longer word is hashed as a whole.
+LONG_WORD = 512
+#: By lane: what the size is added to, and what each eight bytes are multiplied with.
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
+_ODD = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def letters(fold: bool) -> np.ndarray:
-    """The value of each byte; with ``fold``, A-Z count as a-z."""
-    values = _LETTERS.copy()
-    if fold:
-        values[65:91] = values[97:123]
-    return values
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-
-    return run(_BASE), run(pow(_BASE, -1, 2**64))
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     values = values ^ (values >> np.uint64(30))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    values = values ^ (values >> np.uint64(27))
-    values = values * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
 
 
-def _piece(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, fold: bool, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[data], [True]))))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.zeros(0, dtype=np.uint64)
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
-
-
-def words(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(starts, ends, hashes)`` of the words in an array of bytes."""
-    values, found, at = letters(fold), [], 0
+    sizes = ends - starts
+    padded = (_FOLD[data] if fold else data).tobytes() + bytes(8)
+    eight = np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
+    hashes = mix(sizes.astype(np.uint64) + _SEEDS[:lanes, None])
+    left, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(left):
+        part = eight[starts[left] + at] & _TAIL[np.minimum(8, sizes[left] - at)]
+        for lane in range(lanes):
+            hashes[lane, left] = mix(hashes[lane, left] ^ part * _ODD[lane])
+        at += 8
+        left = left[sizes[left] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        whole = blake2b(padded[starts[i] : ends[i]], digest_size=16).digest()
+        hashes[:, i] = np.frombuffer(whole, dtype="<u8")[:lanes]
+    return starts, ends, hashes
+
+
+def words(data: np.ndarray, fold: bool = False, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, hashes)`` of the words in an array of bytes; a row of hashes per lane if several.
+
+    With ``fold``, A-Z count as a-z.
+    """
+    found, at = [], 0
     while at < len(data):
         end = min(len(data), at + PIECE)
         while end < len(data):  # a piece ends between words
@@ -76,17 +78,17 @@ def words(data: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray,
                 end = max(at, end - 4096) + int(gaps[-1]) + 1
                 break
             end = min(len(data), end + 4096)
-        starts, ends, hashes = _piece(data[at:end], values)
+        starts, ends, hashes = _piece(data[at:end], fold, lanes)
         found.append((starts + at, ends + at, hashes))
         at = end
     if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0, dtype=np.uint64)
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+        found.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((lanes, 0), dtype=np.uint64)))
+    starts, ends, hashes = (np.concatenate(part, axis=-1) for part in zip(*found, strict=True))
+    return starts, ends, hashes if lanes > 1 else hashes[0]
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, by the position of the first word."""
+    """Hashes of all runs of a few words (at most eight), by the position of the first word."""
     count = len(hashes) - width + 1
     if count <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -96,6 +98,22 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def run_hashes(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of runs of words; each has at least ``least`` of them and at most twice as many.
+
+    A run is covered by four overlapping runs of a power of two, hashed by doubling.
+    """
+    step = 1 << (least.bit_length() - 1)
+    doubled, reach = hashes, 1
+    while reach < step:
+        doubled = mix(doubled[: len(doubled) - reach] * np.uint64(_BASE) + doubled[reach:])
+        reach *= 2
+    out = mix(sizes.astype(np.uint64) + _SEEDS[0])
+    for i in range(4):
+        out = mix(out * np.uint64(_BASE) + doubled[begins + np.minimum(i * step, sizes - step)])
+    return out
+
+
 def text_steps(batches, column: str = "text", size: int = STEP) -> Iterator:
     """Slices of record batches with about ``size`` bytes of text each."""
     for batch in batches:
@@ -116,8 +134,8 @@ def joined(batch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def word_runs(batch, column: str = "text", fold: bool = False):
+def word_runs(batch, column: str = "text", fold: bool = False, lanes: int = 1):
     """``(hashes, bounds)``: word hashes of all texts and where the words of each text begin."""
     data, bounds = joined(batch, column)
-    starts, _, hashes = words(data, fold)
+    starts, _, hashes = words(data, fold, lanes)
     return hashes, np.searchsorted(starts, bounds)

@@ -43,7 +43,8 @@ WIDE = 2000
 HEAVY_SHARE = 10_000
 #: Words of one automaton, from which on a new shard begins.
 SHARD = 20_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A class of segments: the hash of its anchor and 128 bits of its words.
+CLASS = ["anchor", "words", "more"]
 
 
 class SuffixAutomaton:
@@ -118,14 +119,16 @@ def ranges(positions) -> list[tuple[int, int]]:
 
 
 def segments(hashes: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """``(text, start, windows, anchor, words)`` of each segment, as arrays.
+    """``(text, start, windows, anchor, words, more)`` of each segment, as arrays.
 
-    ``start`` counts words in its text; ``words`` is a hash of the words of the segment.
+    ``hashes`` has two lanes; ``start`` counts words in its text; ``words`` and ``more``
+    are 128 bits of the words of the segment.
     """
     none = np.zeros(0, dtype=np.int64)
-    if len(hashes) < width:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    grams = hashing.shingles(hashes, gram)
+    nothing = (none, none, none, *[none.view(np.uint64)] * 3)
+    if hashes.shape[1] < width:
+        return nothing
+    grams = hashing.shingles(hashes[0], gram)
     # upper half of the hash, then the place: the smallest run, the leftmost of equal ones
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, reach, least = width - gram + 1, 1, keys
@@ -140,18 +143,14 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: i
     text = np.searchsorted(bounds, at, "right") - 1
     valid = np.flatnonzero(at + width <= bounds[np.minimum(text + 1, len(bounds) - 1)])
     if not len(valid):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     place, text = place[valid], text[valid]
     new = np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(valid) != 1) | (text[1:] != text[:-1])))
     first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(valid)))
     begin = valid[first]
-    end = begin + windows + width - 1
-    up, down = hashing._powers(1 << max(20, int(len(hashes)).bit_length()))
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
-    body = hashing.mix((sums[end] - sums[begin]) * down[begin])
-    body = hashing.mix(body + windows.astype(np.uint64) * _BASE)
-    return text[first], begin - bounds[text[first]], windows, grams[place[first]], body
+    body = [hashing.run_hashes(lane, begin, windows + width - 1, width) for lane in hashes]
+    return text[first], begin - bounds[text[first]], windows, grams[place[first]], *body
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -163,83 +162,88 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _segment_rows(keyed: DataFrame, width: int) -> DataFrame:
     def cut(batches):
         for batch in hashing.text_steps(batches):
-            hashes, bounds = hashing.word_runs(batch)
-            text, start, windows, anchor, words = segments(hashes, bounds, width)
+            hashes, bounds = hashing.word_runs(batch, lanes=2)
+            text, start, windows, anchor, words, more = segments(hashes, bounds, width)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column("_k").to_numpy()[text]), pa.array(batch.column("_a").to_numpy()[text]),
-                    pa.array((start << 32) + windows), pa.array(anchor.view(np.int64)), pa.array(words.view(np.int64)),
+                    pa.array((start << 32) + windows), *(pa.array(x.view(np.int64)) for x in (anchor, words, more)),
                 ],
-                names=["_k", "_a", "place", "anchor", "words"],
+                names=["_k", "_a", "place", *CLASS],
             )
 
     return keyed.select("text", "_k", "_a").mapInArrow(
-        cut, "_k long, _a long, place long, anchor long, words long"
+        cut, "_k long, _a long, place long, anchor long, words long, more long"
     )
 
 
 def _contents(keyed: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``(anchor, words, n, classes, body)``: the word hashes of one copy of each class."""
+    """``(anchor, words, more, n, classes, body)``: the word hashes of one copy of each class."""
     wanted = classes.groupBy("_k", "_a").agg(
-        F.collect_list(F.struct("place", "anchor", "words", "n", "classes")).alias("_list")
+        F.collect_list(F.struct("place", *CLASS, "n", "classes")).alias("_list")
     )
 
     def read(batches):
         for batch in hashing.text_steps(batches):
-            hashes, bounds = hashing.word_runs(batch)
+            hashes, bounds = hashing.word_runs(batch, lanes=2)
             rows = []
             for text, items in enumerate(batch.column("_list").to_pylist()):
                 for item in items:
                     start = int(bounds[text]) + (item["place"] >> 32)
                     end = start + (item["place"] & 0xFFFFFFFF) + width - 1
-                    rows.append((item["anchor"], item["words"], item["n"], item["classes"], hashes[start:end].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                    rows.append((*(item[c] for c in (*CLASS, "n", "classes")), hashes[:, start:end].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(values, pa.int64()) for values in columns[:4]), pa.array(columns[4], pa.binary())],
-                names=["anchor", "words", "n", "classes", "body"],
+                [*(pa.array(values, pa.int64()) for values in columns[:5]), pa.array(columns[5], pa.binary())],
+                names=[*CLASS, "n", "classes", "body"],
             )
 
     one = keyed.select("text", "_k", "_a").join(wanted, ["_k", "_a"])
     return store(
-        one.mapInArrow(read, "anchor long, words long, n long, classes long, body binary")
-        .dropDuplicates(["anchor", "words"]),
+        one.mapInArrow(read, "anchor long, words long, more long, n long, classes long, body binary")
+        .dropDuplicates(CLASS),
         "segment-words",
     )
 
 
+def _lanes(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, dtype=np.uint64).reshape(2, -1)
+
+
 def _by_automata(contents: DataFrame, width: int) -> DataFrame:
-    """``(anchor, words, from, to)``: windows of single classes that occur in another place."""
+    """``(anchor, words, more, from, to)``: windows of single classes that occur in another place."""
 
     def match(batches):
         shard, symbols, anchor = [], 0, None
 
         def matched():
             automaton, out = SuffixAutomaton(), []
-            for _, _, n, body in shard:
+            for *_, n, body in shard:
                 automaton.add(body, n)
             automaton.finish()
-            for name, words, n, body in shard:
+            for *name, n, body in shard:
                 if n == 1:
-                    out.extend((name, words, *r) for r in ranges(automaton.repeated(body, width)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+                    out.extend((*name, *r) for r in ranges(automaton.repeated(body, width)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
             return pa.RecordBatch.from_arrays(
-                [pa.array(values, pa.int64()) for values in columns], names=["anchor", "words", "from", "to"]
+                [pa.array(values, pa.int64()) for values in columns], names=[*CLASS, "from", "to"]
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "words", "n", "body")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*CLASS, "n", "body")), strict=True):
                 if symbols > SHARD and row[0] != anchor:
                     yield matched()
                     shard, symbols = [], 0
                 anchor = row[0]
-                body = np.frombuffer(row[3], dtype=np.uint64).tolist()
-                shard.append((*row[:3], body))
+                # a symbol of the automaton is a word by both lanes of its hash
+                body = list(zip(*_lanes(row[-1]).tolist(), strict=True))
+                shard.append((*row[:-1], body))
                 symbols += len(body)
         if shard:
             yield matched()
 
     routed = contents.filter(F.col("classes") <= WIDE).repartition("anchor").sortWithinPartitions("anchor")
-    return routed.mapInArrow(match, "anchor long, words long, from long, to long")
+    return routed.mapInArrow(match, "anchor long, words long, more long, from long, to long")
 
 
 def _by_windows(contents: DataFrame, width: int) -> DataFrame:
@@ -247,20 +251,23 @@ def _by_windows(contents: DataFrame, width: int) -> DataFrame:
 
     def windows(batches):
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "words", "n", "body")), strict=True):
-                hashed = hashing.shingles(np.frombuffer(row[3], dtype=np.uint64), width).view(np.int64)
+            for *name, body in zip(*(batch.column(c).to_pylist() for c in (*CLASS, "n", "body")), strict=True):
+                lanes = _lanes(body)
+                begins = np.arange(lanes.shape[1] - width + 1)
+                sizes = np.full(len(begins), width)
                 yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array([row[0]] * len(hashed)), "words": pa.array([row[1]] * len(hashed)),
-                    "n": pa.array([row[2]] * len(hashed)), "window": pa.array(hashed),
-                    "from": pa.array(np.arange(len(hashed))),
+                    **{c: pa.array([value] * len(begins), pa.int64()) for c, value in zip((*CLASS, "n"), name, strict=True)},
+                    **{c: pa.array(hashing.run_hashes(lane, begins, sizes, width).view(np.int64)) for c, lane in zip(("w1", "w2"), lanes, strict=True)},
+                    "from": pa.array(begins),
                 })
 
     listed = contents.filter(F.col("classes") > WIDE).mapInArrow(
-        windows, "anchor long, words long, n long, window long, from long"
+        windows, "anchor long, words long, more long, n long, w1 long, w2 long, from long"
     )
-    often = listed.groupBy("anchor", "window").agg(F.sum("n").alias("_n")).filter(F.col("_n") > 1)
-    return listed.filter(F.col("n") == 1).join(often, ["anchor", "window"], "left_semi").select(
-        "anchor", "words", "from", (F.col("from") + 1).alias("to")
+    window = ["anchor", "w1", "w2"]
+    often = listed.groupBy(*window).agg(F.sum("n").alias("_n")).filter(F.col("_n") > 1)
+    return listed.filter(F.col("n") == 1).join(often, window, "left_semi").select(
+        *CLASS, "from", (F.col("from") + 1).alias("to")
     )
 
 
@@ -279,7 +286,7 @@ def repeated_windows(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         "shared-segments",
     )
     classes = store(
-        shared.groupBy("anchor", "words").agg(
+        shared.groupBy(*CLASS).agg(
             F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("_k", "_a", "place")]
         ),
         "segment-classes",
@@ -287,14 +294,14 @@ def repeated_windows(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter(F.col("classes") > 1)
     contents = _contents(keyed, classes.join(several, "anchor"), width)
     whole = classes.filter(F.col("n") > 1).select(
-        "anchor", "words", F.lit(0).cast("long").alias("from"),
+        *CLASS, F.lit(0).cast("long").alias("from"),
         F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("to"),
     )
     found = store(
         whole.unionByName(_by_automata(contents, width)).unionByName(_by_windows(contents, width)), "repeated-parts"
     )
     start = F.shiftright("place", 32)
-    return shared.join(found, ["anchor", "words"]).select(
+    return shared.join(found, CLASS).select(
         "_k", "_a", F.struct((start + F.col("from")).alias("from"), (start + F.col("to")).alias("to")).alias("_span")
     ).groupBy("_k", "_a").agg(F.collect_set("_span").alias("spans"))
 

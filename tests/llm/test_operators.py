@@ -16,7 +16,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, compare
 from linkloom.llm import (
-    decontaminate, encode, jaccard, licences, lines, neardup_vectors, packing, quality, substrings, tokenids, warc,
+    decontaminate, encode, hashing, jaccard, licences, lines, neardup_vectors, packing, quality, substrings, tokenids, warc,
 )
 from linkloom.session import scratch_path
 
@@ -99,6 +99,44 @@ def test_warc_cut_off_archive_is_an_error():
         list(warc.split_records([b"WARC/1.1\r\nContent-Length: 9", b"abc"]))
 
 
+# --------------------------------------------------------------- hashes of words
+
+
+def thue_morse(size, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(size))
+
+
+def test_word_hashes_tell_words_apart():
+    draw = random.Random(1)
+    found = {thue_morse(n, x) for n in (8, 64, 256, 512, 1024, 4096) for x in ("ab", "ba")}
+    found |= {"".join(draw.choice("ab") for _ in range(draw.randint(1, 40))) for _ in range(3000)}
+    found |= {"a" * n for n in range(1, 600)} | {"é" * n for n in range(1, 20)}
+    data = np.frombuffer(" ".join(sorted(found)).encode(), dtype=np.uint8)
+    starts, ends, hashes = hashing.words(data, lanes=2)
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == sorted(found)
+    assert all(len(set(lane.tolist())) == len(found) for lane in hashes)
+    assert (hashing.words(data)[2] == hashes[0]).all()
+    upper = np.frombuffer(b"abc ABC aBc abd", dtype=np.uint8)
+    assert len(set(hashing.words(upper, fold=True)[2].tolist())) == 2
+
+
+def test_run_hashes_depend_on_their_words_alone():
+    one = np.arange(200, dtype=np.uint64) % np.uint64(7)
+    begins, sizes = np.array([0, 7, 70, 70, 71]), np.array([35, 35, 64, 63, 63])
+    got = hashing.run_hashes(one, begins, sizes, 35).tolist()
+    assert got[0] == got[1] and got[2] not in got[3:] and got[3] != got[4] and len(set(got)) == 4
+
+
+@pytest.mark.parametrize("size", [256, 1024])
+def test_words_of_equal_sums_are_different(spark, size):
+    one, two = thue_morse(size), thue_morse(size, "ba")
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}")]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == without_repeats(rows)
+    links = jaccard.jaccard_components(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in links.collect()) == [(1, 1), (2, 2)]
+
+
 # ------------------------------------------------------- 2. repeated passages
 
 
