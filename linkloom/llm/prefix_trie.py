@@ -214,6 +214,14 @@ def _members_sums(blocks: DataFrame, alone: DataFrame, diverging: DataFrame, val
     return straight.unionByName(refined)
 
 
+def _batch(rows: list[tuple], numbers: list[str], text: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * (len(numbers) + 1)
+    kinds = [*[pa.int64()] * len(numbers), pa.string()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)], names=[*numbers, text]
+    )
+
+
 def hashed_ends(ends: DataFrame) -> DataFrame:
     """``(depth, k1, k2, ends_sha256)`` from ``(depth, k1, k2, conv)``: SHA-256 of the sorted ids, comma-joined.
 
@@ -226,36 +234,35 @@ def hashed_ends(ends: DataFrame) -> DataFrame:
         at, held = None, []
 
         def piece():
-            return pa.RecordBatch.from_pylist([{
-                **dict(zip(NODE, at, strict=True)), "first": held[0], "ids": ",".join(map(str, held))
-            }])
+            return (*at, held[0], ",".join(map(str, held)))
 
         for batch in batches:
+            out = []
             for *node, conv in zip(*[batch.column(c).to_pylist() for c in (*NODE, "conv")], strict=True):
                 if held and (node != at or len(held) == PIECE_IDS):
-                    yield piece()
+                    out.append(piece())
                     held = []
                 at = node
                 held.append(conv)
+            yield _batch(out, [*NODE, "first"], "ids")
         if held:
-            yield piece()
+            yield _batch([piece()], [*NODE, "first"], "ids")
 
     def digests(batches):
         at, state = None, None
         for batch in batches:
-            done = []
+            out = []
             for *node, ids in zip(*[batch.column(c).to_pylist() for c in (*NODE, "ids")], strict=True):
                 if node != at:
                     if state is not None:
-                        done.append((*at, state.hexdigest()))
+                        out.append((*at, state.hexdigest()))
                     at, state = node, hashlib.sha256()
                 else:
                     state.update(b",")
                 state.update(ids.encode())
-            if done:
-                yield pa.RecordBatch.from_pylist([dict(zip([*NODE, "ends_sha256"], x, strict=True)) for x in done])
+            yield _batch(out, NODE, "ends_sha256")
         if state is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip([*NODE, "ends_sha256"], (*at, state.hexdigest()), strict=True))])
+            yield _batch([(*at, state.hexdigest())], NODE, "ends_sha256")
 
     runs = ends.repartitionByRange(*NODE, "conv").sortWithinPartitions(*NODE, "conv")
     joined = runs.mapInArrow(pieces, f"{kinds}, first long, ids string")
