@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import components as K
+from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import graph as G
 from ..operators import layers as L
@@ -52,6 +53,37 @@ def edge_index(spark, sf):
     return G.edge_index(fx.document_graph(spark, sf)[1])
 
 
+PLACED = "pl as (select node_id, row_number() over (order by node_id) - 1 as place from nodes)"
+
+
+@query(
+    "adjacency_dense",
+    f"with {S.VEC_GRAPH}, {PLACED} select r.node_id, c.place::integer as dim, (adj.src is not null)::integer::double as value "
+    "from nodes r cross join pl c left join adj on adj.src = r.node_id and adj.dst = c.node_id",
+)
+def adjacency_dense(spark, sf):
+    rows = D.adjacency_rows(*fx.vector_graph(spark, sf))
+    return rows.select("node_id", F.posexplode("vec").alias("dim", "value"))
+
+
+@query(
+    "adjacency_tiles",
+    f"with {S.VEC_GRAPH}, {PLACED}, t as (select unnest(range(((select count(*) from nodes) + 63) // 64)) as b) "
+    "select x.b as row_block, y.b as col_block, count(adj.src) as links, "
+    "coalesce(sum((r.place % 64) * 64 + c.place % 64) filter (where adj.src is not null), 0)::bigint as places "
+    "from t x cross join t y join pl r on r.place // 64 = x.b join pl c on c.place // 64 = y.b "
+    "left join adj on adj.src = r.node_id and adj.dst = c.node_id group by 1, 2",
+)
+def adjacency_tiles(spark, sf):
+    tiles = D.adjacency_tiles(*fx.vector_graph(spark, sf), tile=64)
+    cells = tiles.select("row_block", "col_block", "cols", F.posexplode("entries").alias("at", "value"))
+    place = F.floor(F.col("at") / F.col("cols")) * 64 + F.col("at") % F.col("cols")
+    linked = F.col("value") == 1.0
+    return cells.groupBy("row_block", "col_block").agg(
+        F.count_if(linked).alias("links"), F.sum(F.when(linked, place).otherwise(0)).alias("places")
+    )
+
+
 @query(
     "degree",
     f"with {S.DOC_GRAPH} select node_id, (select count(*) from adj where dst = node_id) as degree, d as loop_degree from deg",

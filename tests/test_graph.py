@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import vectors as V
-from linkloom.operators import components, fusion, layers as L, metrics
+from linkloom.operators import components, dense as dense_adjacency, fusion, layers as L, metrics
 from linkloom.operators import graph as G
 from linkloom.operators.joins import HotKeys
 from linkloom.plans import fixtures as fx
@@ -75,6 +75,30 @@ def test_adjacency(tables):
     assert cells == set(zip(*np.nonzero(dense())))
 
 
+@pytest.mark.parametrize("scale,tile", [(1, 4), (10, 512), (10, 1)])
+def test_dense_adjacency(spark, tables, scale, tile):
+    """Also where ids have gaps: rows and columns go by their order."""
+    nodes = tables[0].select((F.col("node_id") * scale - 7).alias("node_id"))
+    edges = tables[1].select(*[(F.col(c) * scale - 7).alias(c) for c in ("src", "dst")])
+    rows = {r.node_id: r.vec for r in dense_adjacency.adjacency_rows(nodes, edges).collect()}
+    assert (np.array([rows[i * scale - 7] for i in range(N)]) == dense()).all()
+    whole = np.full((N, N), -1.0)
+    for t in dense_adjacency.adjacency_tiles(nodes, edges, tile=tile).collect():
+        at = whole[t.row_block * tile :, t.col_block * tile :][: t.rows, : t.cols]
+        assert (at == -1).all()
+        at[:] = np.reshape(t.entries, (t.rows, t.cols))
+    assert (whole == dense()).all()
+    some = dense_adjacency.adjacency_tiles(nodes, edges, tile=1, empty=False)
+    assert sorted((t.row_block, t.col_block) for t in some.collect()) == sorted(zip(*np.nonzero(dense()), strict=True))
+
+
+def test_dense_adjacency_has_a_bound(tables):
+    with pytest.raises(ValueError, match="at most 5 nodes"):
+        dense_adjacency.adjacency_rows(*tables[:2], max_nodes=5)
+    assert dense_adjacency.adjacency_rows(tables[0].limit(0), tables[1].limit(0)).count() == 0
+    assert dense_adjacency.adjacency_tiles(tables[0].limit(0), tables[1].limit(0)).count() == 0
+
+
 def test_degrees_and_weights(graph):
     got = {r.node_id: (r.degree, r.loop_degree) for r in G.degrees(graph).collect()}
     assert got == {i: (dense()[i].sum(), looped()[i].sum()) for i in range(N)}
