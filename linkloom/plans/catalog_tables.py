@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -285,27 +286,24 @@ def batch_cap(spark, sf):
 # ---------------------------------------------------------------- file trips
 
 
-@query(
-    "scan_articles_json",
+SCANNED = (
     f"with {S.ARTICLES} select row_number() over (order by ord) - 1 as position, pmid, label, abstract, 'Title of ' || pmid as title, "
-    "pmid || ',' || coalesce(label, '') as authors, label as history from articles",
+    "pmid || ',' || coalesce(label, '') as authors, label as history from articles"
 )
-def scan_articles_json(spark, sf):
-    path = scratch_path(spark, "articles")
+
+
+def _article_texts(spark, sf):
+    """``(ord, json)``: each article as one JSON object; files have no order column."""
     raw = fx.articles(spark, sf).withColumns({
         "title": F.concat(F.lit("Title of "), "pmid"),
         "authors": F.array("pmid", F.coalesce("label", F.lit(""))),
         "history": F.create_map(F.lit("first"), "label"),
         "author_list": F.array(F.array("pmid")),
     })
-    # arrays of articles, a bounded number per line; the files have no order column
-    fields = F.struct(*[c for c in raw.columns if c != "ord"])
-    chunks = raw.groupBy(F.floor(F.col("ord") / 500).alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.to_json(fields).alias("json")))).alias("rows")
-    )
-    joined = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]"))
-    chunks.repartitionByRange("chunk").sortWithinPartitions("chunk").select(joined).write.text(path)
-    back = readers.read_articles(spark, path)
+    return raw.select("ord", F.to_json(F.struct(*[c for c in raw.columns if c != "ord"])).alias("json"))
+
+
+def _scanned(back):
     found = O.dense_id_map(back.select("ord"), "ord", name="position").join(back, "ord")
     return found.filter(F.col("author_list")[0][0] == F.col("pmid")).select(
         "position", "pmid", "label", "abstract", "title", F.array_join("authors", ",").alias("authors"),
@@ -313,6 +311,40 @@ def scan_articles_json(spark, sf):
     )
 
 
+@query("scan_articles_json", SCANNED)
+def scan_articles_json(spark, sf):
+    path = scratch_path(spark, "articles")
+    # arrays of articles, a bounded number per line
+    chunks = _article_texts(spark, sf).groupBy(F.floor(F.col("ord") / 500).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "json"))).alias("rows")
+    )
+    joined = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]"))
+    chunks.repartitionByRange("chunk").sortWithinPartitions("chunk").select(joined).write.text(path)
+    return _scanned(readers.read_articles(spark, path))
+
+
+def _write_documents(rows, path, brackets):
+    """Each task's ``json`` rows as one document over many lines."""
+
+    def enclose(batches):
+        mark = brackets[0]
+        for batch in batches:
+            lines = [f"{brackets[0] if i == 0 and mark == brackets[0] else ','}\n {x}" for i, x in enumerate(batch.column("json").to_pylist())]
+            mark = "," if lines else mark
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        end = brackets if mark == brackets[0] else brackets[1]
+        yield pa.RecordBatch.from_pydict({"value": [end]})
+
+    rows.select("json").mapInArrow(enclose, "value string").write.text(path)
+
+
+@query("scan_articles_document", SCANNED)
+def scan_articles_document(spark, sf):
+    path = scratch_path(spark, "documents")
+    _write_documents(_article_texts(spark, sf).sort("ord"), path, "[]")
+    return _scanned(readers.read_articles(spark, path, one_document=True))
+
+
 @query("scan_edges_csv", f"with {S.CITATIONS} select source::varchar as source, target from citations")
 def scan_edges_csv(spark, sf):
     path = scratch_path(spark, "edges")
@@ -349,6 +381,17 @@ def scan_link_json(spark, sf):
     return readers.read_links(spark, path)
 
 
+@query("scan_link_document", f"with {PAGES} select source, target from links")
+def scan_link_document(spark, sf):
+    path = scratch_path(spark, "link-documents")
+    _, links = fx.pages_and_links(spark, sf)
+    member = F.concat(F.to_json(F.struct("source")), F.lit(": "), F.to_json(F.array("target")))
+    # {"source":"x"} without its braces and name is the key
+    key = F.regexp_replace(member, r'^\{"source":(.*?)\}: \[', "$1: [")
+    _write_documents(links.select(key.alias("json")), path, "{}")
+    return readers.read_links(spark, path, one_document=True)
+
+
 def _label_lines(spark, sf):
     """Label lines with two header lines, and a second line for some ids."""
     docs = fx.table(spark, sf, "documents").select("doc_id")
@@ -437,16 +480,24 @@ def sink_articles_json(spark, sf):
 
 @query(
     "sink_nodes_csv",
-    f"with {S.CLEAN}, {AUTHORS}, a as (select node_id, '[' || string_agg('\"' || author || '\"', ',' order by author::varchar) || ']' as authors from doc_authors group by 1) "
-    "select row_number() over (order by ord) - 1 as node_id, text_id, label, 'Title, of ' || text_id as title, authors from clean left join a on a.node_id = text_id",
+    f"with {S.CLEAN}, {AUTHORS}, a as (select node_id, '[' || string_agg('\"' || author || '\"', ',' order by author::varchar) || ']' as authors from doc_authors group by 1), "
+    f"{FIRST_TIMES}, h as (select doc_id, min(ts) as ts from hist group by 1), "
+    f"m as (select text_id, {S.MODE} as mode from {S.split_sql('clean', "'1'", id='text_id')}) "
+    "select row_number() over (order by ord) - 1 as node_id, text_id, label, 'Title, of ' || text_id as title, authors, "
+    "text, strftime(ts, '%Y-%m-%d %H:%M:%S') as time, mode "
+    "from clean left join a on a.node_id = text_id left join h on h.doc_id = text_id join m using (text_id)",
 )
 def sink_nodes_csv(spark, sf):
     path = scratch_path(spark, "nodes")
-    nodes = O.dense_ids(A.clean_articles(fx.articles_full(spark, sf)), "ord")
-    sinks.write_nodes(nodes.select("node_id", "text_id", "label", "title", "authors"), path)
-    return spark.read.schema(
-        "node_id bigint, text_id bigint, label int, title string, authors string"
-    ).csv(path, header=True, escape='"')
+    clean = A.clean_articles(fx.articles_full(spark, sf))
+    modes = O.split(clean.select("text_id"), id="text_id").select("text_id", "mode")
+    nodes = O.dense_ids(clean.join(modes, "text_id"), "ord")
+    sinks.write_nodes(nodes.select("node_id", "text_id", "label", "title", "authors", "text", "time", "mode"), path)
+    back = readers.read_nodes(
+        spark, path,
+        schema="node_id bigint, text_id bigint, label int, title string, authors string, text string, time timestamp_ntz, mode string",
+    )
+    return back.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("load_vectors", "select vec_id as node_id, d::integer as dim, round(embedding[d + 1]::double, 6) + 0.0::double as value from embeddings, range(64) r(d)")

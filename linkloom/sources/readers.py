@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import store
+from .split_records import ARRAY, CSV, OBJECT, in_order, read_records
 
 ARTICLE_SCHEMA = (
     "pmid string, label string, abstract string, title string, "
     "authors array<string>, history map<string,string>, author_list array<array<string>>"
 )
 EDGE_SCHEMA = "source bigint, target bigint"
+#: What stands for a field with nothing in it; an empty text is a pair of quotes.
+NULL = "\x01null\x01"
 #: Default place of the id in a landed file's path: its stem.
 STEM = r"([^/]+)\.[^/.]+$"
 
@@ -22,11 +25,16 @@ def read_articles(
     """Articles from JSON with their order ``ord``; stored once, columns by column.
 
     By default each line holds one article or an array of articles, which Spark
-    reads in splits. ``one_document`` reads files that are one array spread over
-    many lines; such a file is one task, so large inputs should be lines. A line
-    that is no article is an error. A schema with ``ord`` takes the order from the file.
+    reads in splits. ``one_document`` reads files that are one array, over any lines;
+    many tasks cut it into its elements. A line or element that is no article is an
+    error. A schema with ``ord`` takes the order from the file.
     """
-    rows = spark.read.schema(schema).json(path, multiLine=one_document, mode="FAILFAST")
+    if one_document:
+        records = in_order(read_records(spark, path, ARRAY), "_ord", first=1)
+        parsed = F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_article")
+        rows = records.select("_ord", parsed).select("_article.*", "_ord")
+        return store(rows.drop("_ord") if "ord" in rows.columns else rows.withColumnRenamed("_ord", "ord"), "articles")
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST")
     return store(rows, "articles") if "ord" in rows.columns else with_order(rows)
 
 
@@ -57,30 +65,57 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDGE_SCHEMA).csv(path, header=True, mode="FAILFAST")
 
 
+def read_csv_records(spark: SparkSession, path: str, *, schema: str, header: bool = False, **options) -> DataFrame:
+    """CSV whose quoted fields may go over lines, read by many tasks per file.
+
+    Quotes in a field are doubled. A record that does not fit the schema is an error;
+    ``header`` leaves the first record of each file out.
+    """
+    records = read_records(spark, path, CSV)
+    if header:
+        records = records.filter("number > 0")
+    chosen = {"mode": "FAILFAST", "escape": '"', "multiLine": "true", "lineSep": "\n", **options}
+    # a line end of the other kind is no part of the last field
+    line = F.regexp_replace("value", "\r$", "")
+    return records.select(F.from_csv(line, schema, chosen).alias("_record")).select("_record.*")
+
+
 def read_headerless(
-    spark: SparkSession, paths: dict[str, str], *, schema: str, column: str = "mode"
+    spark: SparkSession, paths: dict[str, str], *, schema: str, column: str = "mode", one_line: bool = False
 ) -> DataFrame:
-    """CSV files without header, each tagged with its own name, stacked."""
+    """CSV files without header, each tagged with its own name, stacked.
+
+    ``one_line`` says that no record has a line break, which needs one pass less.
+    """
     from ..operators.citations import union_tagged
 
-    return union_tagged(
-        {
-            name: spark.read.schema(schema).csv(
-                path, header=False, multiLine=False, escape='"', mode="FAILFAST"
-            )
-            for name, path in paths.items()
-        },
-        column,
-    )
+    def read(path: str) -> DataFrame:
+        if one_line:
+            return spark.read.schema(schema).csv(path, header=False, multiLine=False, escape='"', mode="FAILFAST")
+        return read_csv_records(spark, path, schema=schema)
+
+    return union_tagged({name: read(path) for name, path in paths.items()}, column)
+
+
+def read_nodes(spark: SparkSession, path: str, *, schema: str) -> DataFrame:
+    """The node table as ``write_nodes`` wrote it; columns that were no scalars are JSON text.
+
+    Nulls, empty texts, blanks and line breaks come back as they were.
+    """
+    return read_csv_records(spark, path, schema=schema, header=True, nullValue=NULL)
 
 
 def read_links(spark: SparkSession, path: str, *, one_document: bool = False) -> DataFrame:
     """``(source, target)`` from ``{title: [titles]}``.
 
-    By default each line is one object; ``one_document`` takes a whole file as one.
-    Anything else is an error.
+    By default each line is one object; ``one_document`` takes a whole file as one,
+    which many tasks cut into its members. Anything else is an error.
     """
-    raw = spark.read.text(path, wholetext=one_document)
+    if one_document:
+        members = read_records(spark, path, OBJECT)
+        raw = members.select(F.concat(F.lit("{"), "value", F.lit("}")).alias("value"))
+    else:
+        raw = spark.read.text(path)
     parsed = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
     linked = raw.filter(F.trim("value") != "").select(parsed.alias("links"))
     return linked.select(F.explode("links").alias("source", "targets")).select(

@@ -24,12 +24,17 @@ def write_articles(articles: DataFrame, path: str, *, by_id: bool = False) -> No
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
-    """The node table with its index as CSV; arrays are stored as JSON text."""
+    """The node table with its index as CSV, texts as they are; arrays are stored as JSON text.
+
+    ``readers.read_nodes`` reads it back, also where texts have line breaks.
+    """
     flat = nodes
     for field in nodes.schema:
         if field.dataType.typeName() in ("array", "map", "struct"):
             flat = flat.withColumn(field.name, F.to_json(field.name))
-    flat.write.mode("overwrite").csv(path, header=True, escape='"')
+    flat.write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -1,12 +1,13 @@
 """Files in the formats the engine reads and writes."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.plans.dataset import LinkedTexts
-from linkloom.sources import readers, sinks
+from linkloom.sources import readers, sinks, split_records
 from linkloom.streaming.ingest import ingest_new_articles
 
 
@@ -27,6 +28,84 @@ def test_articles_as_lines_and_as_one_document(spark, tmp_path):
     assert rows(one, *one.columns) == rows(lines, *lines.columns)
 
 
+NASTY = ['"', "\\", "{", "}", "[", "]", ",", "\n", "\r", "é", "語", " ", "a", '\\"', ":", "\r\n"]
+
+
+def nasty(draw, most):
+    return "".join(draw.choice(NASTY) for _ in range(draw.randrange(most)))
+
+
+@pytest.fixture(params=[120, 1 << 27])
+def splits(request, spark):
+    """Splits of a few bytes, so that records, strings and escapes go over their ends; and whole files."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, (request.param, 1), strict=True):
+        spark.conf.set(name, str(value))
+    yield request.param
+    for name, value in zip(names, before, strict=True):
+        spark.conf.set(name, value)
+
+
+def test_one_document_is_cut_by_many_tasks(spark, tmp_path, splits):
+    draw = random.Random(splits)
+    articles = [
+        {"pmid": f"{i}", "label": draw.choice([None, "1"]), "abstract": nasty(draw, 60), "authors": [nasty(draw, 9) for _ in range(3)],
+         "history": {nasty(draw, 5): "x"}, "author_list": [["a", nasty(draw, 4)], []]}
+        for i in range(40)
+    ] + [{"pmid": "long", "abstract": "]},{" * 100}]
+    files = {"a.json": json.dumps(articles), "b.json": json.dumps(articles, indent=3, ensure_ascii=False) + "\n \n", "c.json": " [\n] ", "d.json": '[{"pmid":"z"}]'}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    for name in files:
+        path = str(tmp_path / name)
+        got = readers.read_articles(spark, path, one_document=True)
+        want = spark.read.schema(readers.ARTICLE_SCHEMA).json(path, multiLine=True)
+        assert rows(got.drop("ord"), *want.columns) == rows(want, *want.columns)
+        ordered = [r.pmid for r in got.sort("ord").collect()]
+        assert ordered == [a["pmid"] for a in json.loads(files[name])]
+    if splits < 1000:
+        assert len({r[0] for r in split_records._pieces(spark, str(tmp_path / "a.json"), "}").select("block").distinct().collect()}) > 20
+
+
+def test_bad_documents_are_an_error(spark, tmp_path):
+    for i, text in enumerate(('[{"pmid": 1}, {"pmid" 2}]', '[{"pmid": "1"}] x', '[{"pmid": "1"}')):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="MALFORMED|Malformed|incomplete|end of the file"):
+            readers.read_articles(spark, str(tmp_path / f"{i}.json"), one_document=True)
+
+
+def test_link_members_over_splits(spark, tmp_path, splits):
+    draw = random.Random(splits + 1)
+    links = {f"{i}{nasty(draw, 12)}": [nasty(draw, 12) for _ in range(draw.randrange(4))] for i in range(50)}
+    for name, text in (("a.json", json.dumps(links)), ("b.json", json.dumps(links, indent=1, ensure_ascii=False) + "\n"), ("c.json", "{ }")):
+        (tmp_path / name).write_bytes(text.encode())
+        got = readers.read_links(spark, str(tmp_path / name), one_document=True)
+        want = [(k, v) for k, targets in json.loads(text).items() for v in targets]
+        assert rows(got, "source", "target") == sorted(want, key=str)
+
+
+def test_csv_records_over_lines_come_back_equal(spark, tmp_path, splits):
+    draw = random.Random(splits + 2)
+    texts = [None, "", " ", "\n", "\r", '"', '""', ",", "NULL", "\\", "x\r", *(nasty(draw, 40) for _ in range(50))]
+    table = [(i, text, ["a", text or "b"], None if i % 3 else "t") for i, text in enumerate(texts)]
+    nodes = spark.createDataFrame(table, "node_id bigint, text string, authors array<string>, mode string")
+    sinks.write_nodes(nodes.repartition(3), str(tmp_path / "n"))
+    back = readers.read_nodes(spark, str(tmp_path / "n"), schema="node_id bigint, text string, authors string, mode string")
+    assert rows(back, "node_id", "text", "mode") == rows(nodes, "node_id", "text", "mode")
+    parsed = back.select("node_id", F.from_json("authors", "array<string>").alias("authors"))
+    assert rows(parsed, "node_id", "authors") == rows(nodes, "node_id", "authors")
+
+
+def test_headerless_records_over_lines(spark, tmp_path, splits):
+    (tmp_path / "a.csv").write_bytes('1,"T\none","say ""hi""\r\n,"\r\n2,plain,"x\n\ny"\n\n'.encode())
+    got = readers.read_headerless(spark, {"train": str(tmp_path / "a.csv")}, schema="label int, title string, text string")
+    assert rows(got, *got.columns) == [(1, "T\none", 'say "hi"\r\n,', "train"), (2, "plain", "x\n\ny", "train")]
+    (tmp_path / "b.csv").write_text("1,a\nx,b\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        readers.read_headerless(spark, {"t": str(tmp_path / "b.csv")}, schema="label int, title string").collect()
+
+
 def test_edges_with_bad_id_are_an_error(spark, tmp_path):
     (tmp_path / "e.csv").write_text("source,target\n1,2\n,3\n")
     assert rows(readers.read_edges(spark, str(tmp_path / "e.csv")), "source", "target") == [(1, 2), (None, 3)]
