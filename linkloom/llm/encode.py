@@ -4,12 +4,18 @@ Byte-level BPE never merges across the pieces that its pattern cuts. A text is c
 such places only (white space before a word), each distinct piece is encoded once by
 the library, and the ids of a text are the ids of its pieces. ``tests/llm`` compares
 this with encoding whole texts.
+
+In texts of ASCII and Latin letters alone the pattern's classes are plain ranges, so its
+cuts themselves are the pieces, and each goes to the library's merge model in the model's
+alphabet of bytes. Pieces of all other texts go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +23,13 @@ import numpy as np
 #: The white space of the tokenizer's pattern.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
+#: The tokenizer's pattern for texts of these signs alone, and the signs.
+_LETTER, _GAP = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "\\t-\\r "
+_PLAIN = re.compile(f"[\x00-\x7f{_LETTER}]*")
+_CUT = f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_LETTER}0-9{_GAP}]+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]+"
+_CUTS = re.compile(_CUT)
 #: Pieces whose ids a worker remembers: up to twice as many, the longest unused go first.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 LONGEST = 64
 #: The id written after each document.
 END_ID = 0
@@ -26,6 +37,13 @@ END_ID = 0
 LINES = 4096
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The signs of bytes that do not stand for themselves: those that do not show, from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -49,6 +67,17 @@ class Encoder:
         if added:
             self._split_at_added()
         (self.newline,) = self._ids("\n")
+        kinds = (type(self.tokenizer.pre_tokenizer).__name__, type(self.tokenizer.model).__name__)
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are made as little-endian unsigned 32-bit integers")
+        #: Whether cuts may go to the model alone.
+        self.plain = self.tokenizer.normalizer is None and kinds == ("ByteLevel", "BPE") and (
+            not self.tokenizer.pre_tokenizer.add_prefix_space and self.tokenizer.pre_tokenizer.use_regex
+        )
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        #: Pieces of the texts at hand: cuts of plain ones, and those of the others.
+        self.cuts: set[str] = set()
+        self.others: set[str] = set()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -63,23 +92,46 @@ class Encoder:
             longest_first = sorted(self.added, key=len, reverse=True)
             self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
 
+    def _pieces(self, text: str) -> list[str]:
+        if not self.plain or not _PLAIN.fullmatch(text):
+            pieces = _PIECES.findall(text)
+            self.others.update(pieces)
+            return pieces
+        cuts = _CUTS.findall(text)
+        self.cuts.update(cuts)
+        return cuts
+
     def _cut(self, text: str) -> list[str]:
         """The pieces of a text; an added token is a piece of its own."""
         if self.split is None:
-            return _PIECES.findall(text)
+            return self._pieces(text)
+        parts = self.split.split(text)
+        if len(parts) == 1:
+            return self._pieces(text)
         pieces: list[str] = []
-        for i, part in enumerate(self.split.split(text)):
+        for i, part in enumerate(parts):
             if i % 2:
                 pieces.append(part)
+                self.others.add(part)
             else:
-                pieces += _PIECES.findall(part)
+                pieces += self._pieces(part)
         return pieces
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, one to a line; those with white space other than a first blank alone."""
+    def _merge(self, cuts: set[str]) -> None:
+        """The ids of new cuts of the pattern, by the merge model."""
+        known, alphabet, tokenize = self.known, self.alphabet, self.model.tokenize
+        for cut in cuts:
+            if cut.isascii() and cut.isprintable():
+                signs = cut.replace(" ", alphabet[0x20])
+            else:
+                signs = cut.encode().decode("latin-1").translate(alphabet)
+            known[cut] = array("I", [token.id for token in tokenize(signs)]).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode other new pieces, one to a line; white space alone."""
         lines = []
         for piece in pieces:
             if piece in self.added:
@@ -101,17 +153,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
+        self.cuts, self.others = set(), set()
         cut = [self._cut(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, older, new = self.known, self.older, []
-        for piece in set().union(*cut):
-            if piece not in known:
-                if piece in older:
-                    known[piece] = older[piece]
-                else:
-                    new.append(piece)
-        self._learn(new)
+        known, older = self.known, self.older
+        wanted = (self.cuts | self.others) - known.keys()
+        for piece in wanted & older.keys():
+            known[piece] = older[piece]
+        new = wanted - known.keys()
+        self._merge(new & self.cuts)
+        self._learn(new - self.cuts)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for piece in new:
             if len(piece) > LONGEST:
