@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Bytes hashed at once; a longer word makes a longer piece.
 PIECE = 1 << 20
 #: Bytes of text that one step of a task holds; a longer text is a step of its own.
-STEP = 4 << 20
+STEP = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

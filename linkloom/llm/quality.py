@@ -8,14 +8,18 @@ and ``SCALE`` times the mean weight of the features: a sparse dot product.
 
 Training follows the regularised leader (McMahan et al., "Ad Click Prediction: a View
 from the Trenches", 2013) with L1 and L2, over a sample of at most ``max_rows``
-labelled rows: those with the smallest hash of their id. Scoring covers every whole text.
+labelled rows: those with the smallest hash of their id. Tasks hash whole texts and send
+each sample row's indices and counts to the one that trains. Scoring covers every whole
+text; only the text goes to Python, other columns stay where they are.
 
 Defined cases: null and empty texts have no features and get the score of the bias;
 a label row without a label is left out, several labels of one id count as the
-smallest; without labelled rows every score is 0.5; repeated documents are scored each.
+smallest; without labelled rows every score is 0.5; repeated documents are scored each;
+a very long text is one step of a task; an empty table gives no rows; columns other than
+the id and the text pass through untouched, whatever their names.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +70,15 @@ def features(batch, column: str = "text", bits: int = BITS) -> tuple[np.ndarray,
 
 
 def train_ftrl(
-    rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = 3,
+    rows: list[tuple[np.ndarray, np.ndarray, int]], *, bits: int = BITS, epochs: int = 3,
     alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1,
 ) -> np.ndarray:
-    """Weights (the last is the bias) from ``(feature indices, label)`` rows, in their order."""
+    """Weights (the last is the bias) from ``(feature indices, their counts, label)`` rows, in their order."""
     size = 2**bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     packed = []
-    for indices, label in rows:
-        index, counts = np.unique(indices, return_counts=True)
-        value = SCALE * counts / max(1, len(indices))
+    for index, counts, label in rows:
+        value = SCALE * counts / max(1, int(counts.sum()))
         packed.append((np.append(index, size).astype(np.int32), np.append(value, 1.0), label))
 
     def weight(index):
@@ -107,44 +110,62 @@ def fit_quality(
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def fit(batches):
-        rows = []
+    def hashed(batches):
         for batch in hashing.text_steps(batches):
             indices, bounds = features(batch, bits=bits)
-            for order, doc, y, a, b in zip(
-                batch.column("_order").to_pylist(), batch.column("doc_id").to_pylist(),
-                batch.column("_label").to_pylist(), bounds[:-1], bounds[1:], strict=True,
-            ):
-                rows.append((order, doc, a - b, indices[a:b].astype(np.int32), y))
-        rows.sort(key=lambda row: row[:3])
+            found = [np.unique(indices[a:b].astype(np.int32), return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("_order", "doc_id", "_label")), pa.array(np.diff(bounds)),
+                    *(pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)),
+                ],
+                names=["_order", "doc_id", "_label", "size", "indices", "counts"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = sample.mapInArrow(
+        hashed, f"_order long, doc_id {kind}, _label int, size long, indices binary, counts binary"
+    )
+
+    def fit(batches):
+        rows = []
+        for batch in batches:
+            for order, doc, y, size, *arrays in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                rows.append((order, doc, -size, *(np.frombuffer(x, dtype="<i4") for x in arrays), y))
+        rows.sort(key=lambda row: (*row[:3], row[3].tobytes()))
         weights = train_ftrl([row[3:] for row in rows], bits=bits) if rows else np.zeros(2**bits + 1)
         yield pa.record_batch({"weights": pa.array([weights.tobytes()], pa.binary())})
 
     # the sample is bounded, so that one task may hold it
-    trained = store(sample.repartition(1).mapInArrow(fit, "weights binary"), "quality-model")
+    trained = store(counted.repartition(1).mapInArrow(fit, "weights binary"), "quality-model")
     found = trained.first()
     return np.frombuffer(found["weights"]) if found else np.zeros(2**bits + 1)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, *, text: str = "text", score: str = "score") -> DataFrame:
-    """The documents with a column of scores; needs no shuffle."""
+def quality_score(spark: SparkSession, weights: np.ndarray):
+    """A function from a text column to its column of scores; needs no shuffle."""
     bits = int(len(weights) - 1).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.select("*", F.lit(0.0).alias(score)).schema
+    shared = spark.sparkContext.broadcast(weights)
 
-    def apply(batches):
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
-        for batch in hashing.text_steps(batches, text):
-            indices, bounds = features(batch, text, bits)
-            sums = np.concatenate(([0.0], np.cumsum(w[indices])))
-            sizes = np.maximum(1, np.diff(bounds))
-            logits = w[-1] + SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / sizes
-            values = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(values)], names=[*batch.schema.names, score]
-            )
+        for array in texts:
+            values = [np.zeros(0)]
+            for batch in hashing.text_steps([pa.RecordBatch.from_arrays([array], names=["text"])]):
+                indices, bounds = features(batch, "text", bits)
+                sums = np.concatenate(([0.0], np.cumsum(w[indices])))
+                sizes = np.maximum(1, np.diff(bounds))
+                logits = w[-1] + SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / sizes
+                values.append(1 / (1 + np.exp(-np.clip(logits, -35, 35))))
+            yield pa.array(np.concatenate(values))
 
-    return docs.mapInArrow(apply, schema)
+    return score
+
+
+def score_quality(docs: DataFrame, weights: np.ndarray, *, text: str = "text", score: str = "score") -> DataFrame:
+    """The documents with a column of scores."""
+    return docs.withColumn(score, quality_score(docs.sparkSession, weights)(F.col(f"`{text}`")))
 
 
 def held_out(doc_id) -> F.Column:

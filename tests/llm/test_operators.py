@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,16 +287,20 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(encode.tokenizer_path())
-    found.encode_special_tokens = True
     return lambda text: [*found.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_encoder_equals_whole_texts(tokenizer):
-    draw, ours = random.Random(1), encode.Encoder(encode.tokenizer_path())
+    draw, ours = random.Random(1), encode.encoder(encode.tokenizer_path())
     signs = [*"ab!1'  \n\n\t\x1c\x85\xa0 　é中.,sS\r\x0b​", "'s", "<|endoftext|>", "²", "١"]
     for _ in range(3000):
         text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 14)))
         assert np.frombuffer(ours.encode([text])[0], dtype="<u4").tolist() == tokenizer(text)[:-1], repr(text)
+    plain = [*"abZ09 \n\t\r\x0b\x0c\x00\x1c\x1f\x7f_-'!éßÄ", "'s", "'ll", "'re", "'T", "  ", "\n\n", "the", " of"]
+    texts = ["".join(draw.choice(plain) for _ in range(draw.randint(0, 20))) for _ in range(4000)]
+    assert all(encode._PLAIN.fullmatch(text) for text in texts)
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer(text)[:-1], repr(text)
 
 
 def test_added_tokens_as_in_the_plain_call(spark):
@@ -450,6 +455,49 @@ def test_quality(spark, odd, empty):
     assert {r.score for r in quality.score_quality(odd, none).collect()} == {0.5}
 
 
+def test_training_equals_plain_ftrl():
+    """Coordinate by coordinate on dense rows, as in the paper."""
+    draw, bits = np.random.default_rng(3), 4
+    rows = [(np.sort(draw.choice(16, size=draw.integers(0, 9), replace=False)), int(draw.integers(0, 2))) for _ in range(40)]
+    rows = [(index, draw.integers(1, 5, len(index)), label) for index, label in rows]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for index, counts, label in rows:
+            x = [0.0] * 16 + [1.0]
+            for i, c in zip(index.tolist(), counts.tolist(), strict=True):
+                x[i] = quality.SCALE * c / sum(counts.tolist())
+            p = 1 / (1 + np.exp(-sum(weight(i) * x[i] for i in range(17))))
+            for i in range(17):
+                if x[i]:
+                    g = (p - label) * x[i]
+                    sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                    z[i], n[i] = z[i] + g - sigma * weight(i), n[i] + g * g
+    got = quality.train_ftrl(rows, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, [weight(i) for i in range(17)], rtol=1e-9, atol=1e-12)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    """Of each word, its shape, both pairs and the repeat, by counting one by one."""
+    texts = ["One two  two", "", "x1 X1-y", "a " * 50, None, "é É é"]
+    weights = np.random.default_rng(2).normal(size=2**6 + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = {r.doc_id: r.score for r in quality.score_quality(docs, weights).collect()}
+    for i, text in enumerate(texts):
+        alone = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())})
+        indices, _ = quality.features(alone, bits=6)
+        assert len(indices) == 5 * len((text or "").split())
+        counts = Counter(indices.tolist())
+        logit = weights[-1] + sum(weights[k] * quality.SCALE * n / len(indices) for k, n in counts.items())
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-9)
+
+
 # ------------------------------------------------- 8. benchmark passages
 
 
@@ -559,14 +607,24 @@ def test_line_runs_are_levelled(spark):
 # ------------------------------------------------------------- pipeline
 
 
+def folded(line):
+    return line.strip(lines.BLANKS).translate(str.maketrans(lines.UPPER, lines.UPPER.lower()))
+
+
 def test_pipeline(spark, tokenizer):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("x"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("x")).withColumn("_score", F.lit(1))
     start = {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         before, after = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
+        if name == "line_dedup":
+            held = Counter(key for r in before.values() for key in {folded(x) for x in (r.text or "").split("\n")} if key)
+            for i, r in before.items():
+                lines_ = (r.text or "").split("\n")
+                stay = [x for x in lines_ if not folded(x) or held[folded(x)] < 10]
+                assert after[i].text == (r.text if stay == lines_ else "\n".join(stay))
         if name == "near_duplicates":
             groups = components_of([(i, r.text) for i, r in before.items()])
             assert set(after) == {i for i, _, component in groups if i == component}
@@ -581,6 +639,12 @@ def test_pipeline(spark, tokenizer):
     rows = corpus_pipeline.run(spark, SF).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer)
     assert {r.doc_id for r in rows} <= set(start)
+    sizes = Counter()
+    for r in rows:
+        sizes[r.sequence_id] += r.length
+    # all sequences are full but the last ones, which are powers of two
+    assert all(size == 1024 or size.bit_count() == 1 for size in sizes.values())
+    assert sum(size < 1024 for size in sizes.values()) <= 10
 
 
 def test_near_duplicates_keep_other_texts_of_an_id(spark):
