@@ -13,7 +13,7 @@ from linkloom.llm.decontaminate import drop_leaks
 from linkloom.llm.jaccard import jaccard_components
 from linkloom.llm.lines import dedup_lines
 from linkloom.llm.packing import pack_documents
-from linkloom.llm.quality import fit_quality, held_out, score_quality
+from linkloom.llm.quality import fit_quality, held_out, quality_score
 from linkloom.llm.registry import table
 from linkloom.session import store
 
@@ -22,14 +22,23 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    A null or empty text has the score of the bias and goes or stays by it; repeated rows
+    go or stay together; an empty table stays empty; no column of the input is renamed or
+    clashes, for none is added. Without labelled rows all scores are 0.5 and all rows stay.
+    """
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
-    scored = score_quality(docs, fit_quality(docs, labels), score="_score")
-    return scored.filter(F.col("_score") >= 0.5).drop("_score")
+    score = quality_score(spark, fit_quality(docs, labels))
+    return docs.filter(score(F.col("text")) >= 0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines out that ten or more documents hold."""
+    """Take lines out that ten or more documents hold.
+
+    A null text stays null, a text that loses all lines becomes empty, blank lines stay;
+    repeated rows count as documents each; an empty table stays empty.
+    """
     return dedup_lines(docs)
 
 
@@ -67,12 +76,20 @@ def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark passage."""
+    """Drop the documents that hold a benchmark passage.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; without
+    test items, or in an empty table, nothing changes.
+    """
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into windows of 1024 tokens."""
+    """Pack what is left into windows of 1024 tokens.
+
+    A null or empty text is the end id alone; repeated rows are packed each; an empty
+    table gives no pieces. The columns are those of the pieces.
+    """
     return pack_documents(docs)
 
 
