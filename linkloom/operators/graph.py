@@ -17,25 +17,36 @@ from .propagate import neighbour_sum
 
 
 
-def undirected_edges(edges: DataFrame) -> DataFrame:
-    """Unordered distinct pairs ``(u, v)`` with ``u <= v``."""
-    return edges.select(
-        F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")
-    ).distinct()
+def undirected_edges(edges: DataFrame, *, merge: str = "max") -> DataFrame:
+    """Unordered distinct pairs ``(u, v)`` with ``u <= v``, and their ``weight`` if edges have one.
+
+    Weights of both directions and of repeats are merged: ``max`` keeps one link's
+    weight, so that weights of 1 are a graph without weights; ``sum`` adds up, as for
+    numbers of references. A link whose weight is null or not positive is none.
+    """
+    pair = [F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")]
+    if "weight" not in edges.columns:
+        return edges.select(*pair).distinct()
+    if merge not in ("max", "sum"):
+        raise ValueError(f"unknown merge {merge!r}: expected 'max' or 'sum'")
+    merged = F.max("weight") if merge == "max" else F.sum("weight")
+    known = edges.filter(F.col("weight") > 0).select(*pair, F.col("weight").cast("double").alias("weight"))
+    return known.groupBy("u", "v").agg(merged.alias("weight"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Symmetric adjacency ``(row, col, value)``, value 1.
+def adjacency(edges: DataFrame, *, merge: str = "max") -> DataFrame:
+    """Symmetric adjacency ``(row, col, value)``, value 1 or the merged weight.
 
     Pairs are made distinct before they are mirrored, so each is shuffled once.
     """
+    pairs = undirected_edges(edges, merge=merge)
     there = F.struct(F.col("u").alias("row"), F.col("v").alias("col"))
     back = F.struct(F.col("v").alias("row"), F.col("u").alias("col"))
     both = F.when(F.col("u") == F.col("v"), F.array(there)).otherwise(F.array(there, back))
+    value = F.col("weight") if "weight" in pairs.columns else F.lit(1.0)
     return (
-        undirected_edges(edges)
-        .select(F.explode(both).alias("cell"))
-        .select("cell.row", "cell.col", F.lit(1.0).alias("value"))
+        pairs.select(F.explode(both).alias("cell"), value.alias("value"))
+        .select("cell.row", "cell.col", "value")
     )
 
 
@@ -51,23 +62,38 @@ class Graph:
     ``hops(src, dst, own)`` holds both directions of every edge and one ``own``
     row per node, so a single join and aggregate gives a node its neighbours and
     itself, and isolated nodes need no extra join. ``hot`` lists the hub nodes
-    whose rows are spread over many tasks.
+    whose rows are spread over many tasks. On a ``weighted`` graph every row has a
+    ``weight``; that of an own row is the node's loop, or 1 without one.
     """
 
     nodes: DataFrame
     hops: DataFrame
     hot: HotKeys
+    weighted: bool = False
 
     @classmethod
-    def build(cls, nodes: DataFrame, edges: DataFrame, *, keep: bool = True) -> "Graph":
-        """Prepare a graph; ``keep`` stores the hop table once for all layers."""
+    def build(cls, nodes: DataFrame, edges: DataFrame, *, keep: bool = True, merge: str = "max") -> "Graph":
+        """Prepare a graph; ``keep`` stores the hop table once for all layers.
+
+        Edges with a ``weight`` give a weighted graph; ``merge`` as in ``undirected_edges``.
+        """
         own = nodes.select(
             F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(True).alias("own")
         )
-        hops = edge_index(edges).withColumn("own", F.lit(False)).unionByName(own)
+        weighted = "weight" in edges.columns
+        if weighted:
+            cells = adjacency(edges, merge=merge)
+            loops = cells.filter(F.col("row") == F.col("col")).select(F.col("row").alias("_loop"), "value")
+            own = own.join(loops, F.col("src") == F.col("_loop"), "left").select(
+                "src", "dst", "own", F.coalesce("value", F.lit(1.0)).alias("weight")
+            )
+            links = cells.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.lit(False).alias("own"), F.col("value").alias("weight"))
+        else:
+            links = edge_index(edges).withColumn("own", F.lit(False))
+        hops = links.unionByName(own)
         if keep:
             hops = settle(hops)
-        return cls(nodes.select("node_id"), hops, hot_keys(hops, "src")["src"])
+        return cls(nodes.select("node_id"), hops, hot_keys(hops, "src")["src"], weighted)
 
     @property
     def proper_hops(self) -> DataFrame:
@@ -76,8 +102,10 @@ class Graph:
 
     @property
     def all_hops(self) -> DataFrame:
-        """Own rows and every edge, a self-cited node's loop included."""
-        return self.hops
+        """Own rows and every edge, a self-cited node's loop included; own rows weigh 1."""
+        if not self.weighted:
+            return self.hops
+        return self.hops.withColumn("weight", F.when(F.col("own"), 1.0).otherwise(F.col("weight")))
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -91,24 +119,23 @@ def degrees(graph: Graph) -> DataFrame:
 
 
 def norms(graph: Graph) -> DataFrame:
-    """``(node_id, norm)`` with ``norm = 1/sqrt(degree with loop)``."""
-    return degrees(graph).select(
-        "node_id", (F.lit(1.0) / F.sqrt(F.col("loop_degree").cast("double"))).alias("norm")
-    )
+    """``(node_id, norm)`` with ``norm = 1/sqrt(degree with loop)``, or of the sum of weights."""
+    if graph.weighted:
+        totals = graph.proper_hops.groupBy(F.col("dst").alias("node_id")).agg(F.sum("weight").alias("_total"))
+    else:
+        totals = degrees(graph).select("node_id", F.col("loop_degree").cast("double").alias("_total"))
+    return totals.select("node_id", (F.lit(1.0) / F.sqrt("_total")).alias("norm"))
 
 
 def gcn_edge_weights(graph: Graph) -> DataFrame:
-    """``1/sqrt(d_i d_j)`` over edges plus one loop per node."""
+    """``w_ij/sqrt(d_i d_j)`` over edges plus one loop per node."""
     scale = norms(graph)
     left = scale.toDF("_src", "_src_norm")
     right = scale.toDF("_dst", "_dst_norm")
-    half = lookup_join(
-        graph.proper_hops.select("src", "dst"), left, "src", "_src", hot=graph.hot
-    ).drop("_src")
+    half = lookup_join(graph.proper_hops.drop("own"), left, "src", "_src", hot=graph.hot).drop("_src")
     full = lookup_join(half, right, "dst", "_dst", hot=graph.hot)
-    return full.select(
-        "src", "dst", (F.col("_src_norm") * F.col("_dst_norm")).alias("weight")
-    )
+    scaled = F.col("_src_norm") * F.col("_dst_norm")
+    return full.select("src", "dst", (scaled * F.col("weight") if graph.weighted else scaled).alias("weight"))
 
 
 def reference_weights(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from ..functions.vectors import as_array
 from ..session import settle
 from .graph import Graph, norms
 from .joins import lookup_join
-from .propagate import hop, neighbour_sum
+from .propagate import hop
+from .softmax import softmax_sums
 
 #: Fixed value: slope of the attention score below zero.
 LEAKY_SLOPE = 0.2
@@ -34,11 +35,11 @@ def with_norms(graph: Graph, vectors: DataFrame) -> DataFrame:
 
 
 def gcn_propagate(graph: Graph, vectors: DataFrame, *, width: int | None = None) -> DataFrame:
-    """``sum_j x_j / sqrt(d_i d_j)`` over neighbours j and i itself.
+    """``sum_j w_ij x_j / sqrt(d_i d_j)`` over neighbours j and i itself.
 
-    The weight factors into a part of the sender and one of the receiver, so
-    edges carry no weight: the sum weighs each sender, and one scaling per node
-    follows. Keeps a ``norm`` column if the input has one, for the next layer.
+    The degree's part factors into a part of the sender and one of the receiver, so
+    edges carry their own weight at most: the sum weighs each sender, and one scaling
+    per node follows. Keeps a ``norm`` column if the input has one, for the next layer.
     """
     chained = "norm" in vectors.columns
     sent = vectors if chained else with_norms(graph, vectors)
@@ -62,7 +63,7 @@ def gcn_layer(graph: Graph, vectors: DataFrame, layer: V.Linear) -> DataFrame:
 def sage_layer(
     graph: Graph, vectors: DataFrame, neighbours: V.Linear, own: V.Linear
 ) -> DataFrame:
-    """``l2norm(W1 sum_j x_j + b + W2 x_i)``: a sum, not a mean.
+    """``l2norm(W1 sum_j w_ij x_j + b + W2 x_i)``: a sum, not a mean.
 
     Both maps run before the shuffle, and a node's own row sends ``W2 x + b``.
     """
@@ -88,7 +89,7 @@ class Mlp:
 
 
 def gin_layer(graph: Graph, vectors: DataFrame, mlp: Mlp) -> DataFrame:
-    """``MLP(x_i + sum_j x_j)``; the first map moves before the sum if it narrows."""
+    """``MLP(x_i + sum_j w_ij x_j)``; the first map moves before the sum if it narrows."""
     first, rest = mlp.layers[0], mlp.layers[1:]
     x = as_array(vectors)
     if first.n_out <= first.n_in:
@@ -150,81 +151,63 @@ def _scored(vectors: DataFrame, layer: Attention, *, wide: bool) -> DataFrame:
     return vectors.select(*columns)
 
 
-def _raw_attention(graph: Graph, scored: DataFrame, layer: Attention) -> DataFrame:
-    """Hop rows with ``p``, the unnormalised softmax weight per head.
-
-    The score grows with the sender's part, so the maximum over incoming edges
-    only needs the largest sender part per target: a narrow aggregate.
-    """
-    heads = range(layer.heads)
-    hops, hot = graph.proper_hops, graph.hot
-    narrow = scored.select(F.col("node_id").alias("_sender"), "s", "d")
-    peaks = (
-        lookup_join(hops, narrow, "src", "_sender", hot=hot)
-        .groupBy(F.col("dst").alias("_target"))
-        .agg(
-            *[F.max(F.col("s")[k]).alias(f"s{k}") for k in heads],
-            *[F.max(F.when(F.col("own"), F.col("d")[k])).alias(f"d{k}") for k in heads],
-        )
-        .select(
-            "_target",
-            F.array(*[f"d{k}" for k in heads]).alias("_d"),
-            F.array(*[_leaky(F.col(f"s{k}") + F.col(f"d{k}")) for k in heads]).alias("_peak"),
-        )
-    )
+def _edge_scores(graph: Graph, scored: DataFrame) -> DataFrame:
+    """Hop rows with the target's part of the score, then the sender's part and its vector."""
+    targets = scored.select(F.col("node_id").alias("_target"), "d")
     senders = scored.drop("d").withColumnRenamed("node_id", "_sender")
-    aimed = lookup_join(hops, peaks, "dst", "_target", hot=hot).drop("_target")
-    sent = lookup_join(aimed, senders, "src", "_sender", hot=hot).drop("_sender")
-    weight = F.zip_with(
-        F.zip_with("s", "_d", lambda s, d: _leaky(s + d)), "_peak", lambda e, m: F.exp(e - m)
-    )
-    return sent.withColumn("p", weight).drop("s", "_d", "_peak")
+    aimed = lookup_join(graph.proper_hops, targets, "dst", "_target", hot=graph.hot).drop("_target")
+    return lookup_join(aimed, senders, "src", "_sender", hot=graph.hot).drop("_sender", "own")
+
+
+def _softmax_inputs(heads: int, wide: bool, weighted: bool):
+    def score(batch, matrix):
+        scores = matrix(batch.column("s")) + matrix(batch.column("d"))
+        scores = np.where(scores > 0, scores, scores * LEAKY_SLOPE)
+        factors = np.ones_like(scores)
+        if weighted:
+            factors *= batch.column("weight").to_numpy()[:, None]
+        vectors = matrix(batch.column("h")) if wide else np.zeros((len(scores), 0))
+        return scores, factors, vectors
+
+    return score
 
 
 def gat_attention(graph: Graph, vectors: DataFrame, layer: Attention) -> DataFrame:
-    """``(src, dst, alpha)``: softmax over a target's incoming edges, per head."""
-    raw = _raw_attention(graph, _scored(vectors, layer, wide=False), layer)
-    heads = range(layer.heads)
-    sums = raw.groupBy(F.col("dst").alias("_target")).agg(
-        F.array(*[F.sum(F.col("p")[k]) for k in heads]).alias("_sum")
+    """``(src, dst, alpha)``: softmax over a target's incoming edges, per head.
+
+    On a weighted graph an edge's mass is multiplied by its weight.
+    """
+    rows = _edge_scores(graph, _scored(vectors, layer, wide=False))
+    weight = F.col("weight") if graph.weighted else F.lit(1.0)
+    stats = softmax_sums(
+        rows.withColumnRenamed("dst", "_target"), "_target", heads=layer.heads,
+        score=_softmax_inputs(layer.heads, False, graph.weighted),
+        finish=lambda peaks, masses, _: (peaks, masses), out=("_peak", "_mass"),
     )
-    return lookup_join(raw, sums, "dst", "_target", hot=graph.hot).select(
-        "src", "dst", F.zip_with("p", "_sum", lambda p, s: p / s).alias("alpha")
+    share = F.zip_with(
+        F.zip_with(F.zip_with("s", "d", lambda s, d: _leaky(s + d)), "_peak", lambda e, m: F.exp(e - m)),
+        "_mass", lambda p, mass: p / mass * weight,
     )
+    return lookup_join(rows, stats, "dst", "_target", hot=graph.hot).select("src", "dst", share.alias("alpha"))
 
 
 def gat_layer(graph: Graph, vectors: DataFrame, layer: Attention) -> DataFrame:
     """Attention-weighted sum per head; heads are joined or averaged.
 
-    Weighted vectors and weights are summed together and divided once per node.
+    Two joins and one aggregation: peaks, masses and weighted sums are merged together
+    and divided once per node. On a weighted graph an edge's mass is multiplied by its weight.
     """
-    raw = _raw_attention(graph, _scored(vectors, layer, wide=True), layer)
     heads, width = layer.heads, layer.width
-    body = heads * width
-    spread = F.flatten(F.transform("p", lambda p: F.array_repeat(p, width)))
-    rows = raw.select(
-        F.col("dst").alias("node_id"),
-        F.concat(F.zip_with("h", spread, lambda h, p: h * p), "p").alias("vec"),
-    )
-    summed = neighbour_sum(rows, by="node_id", width=body + heads)
 
-    def share(k: int) -> Column:
-        head = F.slice("vec", k * width + 1, width)
-        return V.let(
-            F.element_at("vec", body + k + 1), lambda mass: F.transform(head, lambda x: x / mass)
-        )
+    def finish(_, masses, sums):
+        shares = sums.reshape(-1, heads, width) / masses[:, :, None]
+        merged = shares.reshape(-1, heads * width) if layer.concat else shares.mean(axis=1)
+        return (merged if layer.bias is None else merged + layer.bias,)
 
-    parts = [share(k) for k in range(heads)]
-    if layer.concat:
-        merged = F.concat(*parts)
-    else:
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = V.add(merged, part)
-        merged = V.scale(merged, F.lit(1.0 / heads))
-    if layer.bias is not None:
-        merged = V.add(merged, V.constant(layer.bias))
-    return summed.select("node_id", merged.alias("vec"))
+    return softmax_sums(
+        _edge_scores(graph, _scored(vectors, layer, wide=True)).withColumnRenamed("dst", "node_id"), "node_id",
+        heads=heads, score=_softmax_inputs(heads, True, graph.weighted), finish=finish, out=("vec",),
+    )
 
 
 # ---------------------------------------------------------------- whole models

@@ -80,6 +80,7 @@ def hop(
 ) -> DataFrame:
     """Sum ``vec`` of all senders per receiver, times the sender's ``weight`` if given.
 
+    Where hop rows have a ``weight`` of their own, it is multiplied too.
     ``own_vec`` is what a node sends to itself, if different. ``keep`` names
     scalar columns of the receiver that are carried through its own row. Wide
     vectors are cut into blocks per sender, before they are repeated per edge.
@@ -89,6 +90,10 @@ def hop(
     if in_blocks:
         sending = {name: blocks_of(column) for name, column in sending.items()}
     scalars = sorted({*keep, *([weight] if weight else [])})
+    factor = weight
+    if "weight" in hops.columns:
+        factor = "_factor"
+        hops = hops.withColumnRenamed("weight", factor)
     prepared = senders.select(
         F.col("node_id").alias("_sender"), *[c.alias(n) for n, c in sending.items()], *scalars
     )
@@ -96,8 +101,11 @@ def hop(
     message = F.col(vec)
     if own_vec:
         message = F.when(F.col("own"), F.col(own_vec)).otherwise(message)
+    scalars = [F.col(name) for name in scalars]
+    if factor == "_factor":
+        scalars.append((F.col(factor) * (F.col(weight) if weight else F.lit(1.0))).alias(factor))
     rows = sent.select(F.col("dst").alias("node_id"), "own", message.alias("vec"), *scalars)
     carry = {name: F.max(F.when(F.col("own"), F.col(name))) for name in keep}
     return neighbour_sum(
-        rows, by="node_id", width=width, weight=weight, carry=carry, in_blocks=in_blocks
+        rows, by="node_id", width=width, weight=factor, carry=carry, in_blocks=in_blocks
     )

@@ -264,6 +264,28 @@ def gat_layer(spark, sf):
     return long(L.gat_layer(vector_graph(spark, sf), x0(spark, sf), attention_layers()[0]))
 
 
+WEIGHTED = S.with_(S.WEIGHTED_GRAPH, S.VECTORS)
+
+
+def weighted_graph(spark, sf):
+    return G.Graph.build(*fx.weighted_graph(spark, sf), merge="sum")
+
+
+@query("weighted_edge_weights", f"with {S.WEIGHTED_GRAPH} select src, dst, {S.num('w')} as weight from gcnw")
+def weighted_edge_weights(spark, sf):
+    return G.gcn_edge_weights(weighted_graph(spark, sf)).withColumn("weight", num("weight"))
+
+
+@query("weighted_gcn_propagate", f"{WEIGHTED}, {S.propagate('y', 'x0')}{S.rows_of('y')}")
+def weighted_gcn_propagate(spark, sf):
+    return long(L.gcn_propagate(weighted_graph(spark, sf), x0(spark, sf)))
+
+
+@query("weighted_gat_layer", f"{WEIGHTED}, {S.gat('y', 'x0', 64, HEADS, WIDTH, True, 'l.w')}{S.rows_of('y')}")
+def weighted_gat_layer(spark, sf):
+    return long(L.gat_layer(weighted_graph(spark, sf), x0(spark, sf), attention_layers()[0]))
+
+
 GCN1 = f"{S.gcn('g1', 'x0', HIDDEN, 64)}, {S.relu('r1', 'g1')}"
 
 

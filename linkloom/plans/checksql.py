@@ -58,6 +58,20 @@ gcnw as (
   select l.src, l.dst, 1.0::double / sqrt(a.d::double) * (1.0::double / sqrt(b.d::double)) as w
   from looped l join deg a on a.node_id = l.src join deg b on b.node_id = l.dst)"""
 
+WEIGHTED_GRAPH = """
+nodes as (select vec_id as node_id from embeddings),
+wpairs as (
+  select least(l_orderkey, l_partkey) u, greatest(l_orderkey, l_partkey) v, sum(l_quantity)::double w from lineitem
+  where l_orderkey in (select node_id from nodes) and l_partkey in (select node_id from nodes) group by 1, 2),
+wadj as (select u src, v dst, w from wpairs union all select v, u, w from wpairs where u <> v),
+looped as (
+  select src, dst, w from wadj where src <> dst
+  union all select node_id, node_id, coalesce(w, 1.0::double) from nodes left join (select * from wadj where src = dst) on src = node_id),
+deg as (select dst as node_id, sum(w) as d from looped group by 1),
+gcnw as (
+  select l.src, l.dst, l.w * (1.0::double / sqrt(a.d)) * (1.0::double / sqrt(b.d)) as w
+  from looped l join deg a on a.node_id = l.src join deg b on b.node_id = l.dst)"""
+
 DOC_GRAPH = graph_of("documents", "doc_id")
 VEC_GRAPH = graph_of("embeddings", "vec_id")
 
@@ -152,7 +166,7 @@ def gin(out: str, source: str, sizes: tuple[int, ...], last_relu: bool) -> str:
     return ",".join(parts)
 
 
-def attention(out: str, source: str, n_in: int, heads: int, width: int) -> str:
+def attention(out: str, source: str, n_in: int, heads: int, width: int, weight: str = "1.0::double") -> str:
     """``h_out(node_id, i, x)`` and ``alpha_out(src, dst, head, alpha)``."""
     return ",".join([
         linear(f"h_{out}", source, heads * width, n_in, bias=False),
@@ -161,17 +175,17 @@ sc_{out} as (select node_id, i // {width} as head,
     sum(x * (((i // {width}) * 5 + (i % {width}) * 3) % 7 - 3)::double / 7.0::double) as s,
     sum(x * (((i // {width}) * 3 + (i % {width}) * 5) % 7 - 3)::double / 7.0::double) as d
   from h_{out} group by 1, 2),
-e_{out} as (select l.src, l.dst, a.head, case when a.s + b.d > 0 then a.s + b.d else (a.s + b.d) * 0.2::double end as e
+e_{out} as (select l.src, l.dst, a.head, {weight} as w, case when a.s + b.d > 0 then a.s + b.d else (a.s + b.d) * 0.2::double end as e
   from looped l join sc_{out} a on a.node_id = l.src join sc_{out} b on b.node_id = l.dst and b.head = a.head),
 em_{out} as (select dst, head, max(e) as m from e_{out} group by 1, 2),
-es_{out} as (select dst, head, m, sum(exp(e - m)) as s from e_{out} join em_{out} using (dst, head) group by 1, 2, 3),
-alpha_{out} as (select src, dst, head, exp(e - m) / s as alpha from e_{out} join es_{out} using (dst, head))""",
+es_{out} as (select dst, head, m, sum(w * exp(e - m)) as s from e_{out} join em_{out} using (dst, head) group by 1, 2, 3),
+alpha_{out} as (select src, dst, head, w * exp(e - m) / s as alpha from e_{out} join es_{out} using (dst, head))""",
     ])
 
 
-def gat(out: str, source: str, n_in: int, heads: int, width: int, concat: bool) -> str:
+def gat(out: str, source: str, n_in: int, heads: int, width: int, concat: bool, weight: str = "1.0::double") -> str:
     column, share = (f"h.i", "1.0::double") if concat else (f"h.i % {width}", f"1.0::double / {heads}")
-    return attention(out, source, n_in, heads, width) + f""",
+    return attention(out, source, n_in, heads, width, weight) + f""",
 {out} as (select node_id, o as i, x + {BIAS} as x from (
     select a.dst as node_id, {column} as o, sum(a.alpha * h.x) * {share} as x
     from alpha_{out} a join h_{out} h on h.node_id = a.src and h.i // {width} = a.head

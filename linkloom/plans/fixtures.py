@@ -77,6 +77,16 @@ def vector_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, links_among(spark, sf, nodes)
 
 
+def weighted_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Links between vectors, each reference with its quantity as ``weight``."""
+    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"))
+    links = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("double").alias("weight")
+    )
+    ends = [F.col(c) == F.col("node_id") for c in ("src", "dst")]
+    return nodes, links.join(nodes, ends[0], "left_semi").join(nodes, ends[1], "left_semi")
+
+
 def histories(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, history)``: event type -> time of its first event, as a map."""
     events = table(spark, sf, "events")

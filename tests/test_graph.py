@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import vectors as V
 from linkloom.operators import components, dense as dense_adjacency, fusion, layers as L, metrics
 from linkloom.operators import graph as G
+from linkloom.operators import softmax
 from linkloom.operators.joins import HotKeys
 from linkloom.plans import fixtures as fx
 
@@ -160,6 +161,94 @@ def test_gat(graph, tables, concat):
         assert r.alpha == pytest.approx(alpha[r.dst, r.src])
 
 
+def test_online_softmax_merges_like_one_pass():
+    rng = np.random.default_rng(2)
+    keys, scores = rng.integers(0, 5, 200), rng.normal(size=(200, 3)) * 300
+    mass, sums = rng.random((200, 3)), rng.normal(size=(200, 6))
+    states = np.concatenate([scores, mass, sums], axis=1)
+    whole = softmax.combine(keys, states, 3)
+    halves = [softmax.combine(keys[part], states[part], 3) for part in (slice(0, 70), slice(70, 71), slice(71, 200))]
+    merged = softmax.combine(*(np.concatenate(x) for x in zip(*halves, strict=True)), 3)
+    assert (whole[0] == merged[0]).all() and np.allclose(whole[1], merged[1])
+    for key, state in zip(*whole, strict=True):
+        here = keys == key
+        factor = np.exp(scores[here] - scores[here].max(0))
+        want = np.concatenate([scores[here].max(0), (mass[here] * factor).sum(0), (sums[here] * np.repeat(factor, 2, axis=1)).sum(0)])
+        assert np.allclose(state, want)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 15])
+def test_attention_at_a_hub(spark, monkeypatch, held):
+    """One target with scores far apart, over many batches and tasks."""
+    monkeypatch.setattr(softmax, "HELD", held)
+    n = 3000
+    x = np.random.default_rng(8).normal(size=(n, 2)) * 200
+    layer = L.Attention(V.Linear(np.eye(2), None), np.array([[1.0], [2.0]]), np.array([[0.5], [0.1]]))
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "node_id bigint, vec array<double>").repartition(5)
+    edges = spark.range(1, n).select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"))
+    built = G.Graph.build(spark.range(n).withColumnRenamed("id", "node_id"), edges)
+    got = {r.node_id: r.vec for r in L.gat_layer(built, vectors, layer).collect()}
+    e = x * [1.0, 2.0] + x[0] * [0.5, 0.1]
+    e = np.where(e > 0, e, 0.2 * e)
+    a = np.exp(e - e.max(0))
+    assert got[0] == pytest.approx((a * x).sum(0) / a.sum(0)) and len(got) == n
+
+
+def test_attention_is_one_aggregation(graph, tables):
+    layer = fx.formula_attention(5, 3, 2, True)
+    plan = L.gat_layer(graph, tables[2], layer)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and plan.count("RepartitionByExpression") == 1
+    if not graph.hot:
+        assert plan.count("Join") == 2
+
+
+LINKS = [(0, 1, 2.0), (1, 0, 3.0), (1, 2, 1.0), (1, 2, 0.5), (3, 3, 4.0), (3, 4, 1.5), (0, 2, 1.0), (2, 4, 0.0), (2, 5, None), (4, 5, -1.0)]
+
+
+@pytest.mark.parametrize("merge", ["max", "sum"])
+def test_layers_on_weighted_graphs(spark, tables, merge):
+    nodes, _, vectors, x = tables
+    edges = spark.createDataFrame(LINKS, "src bigint, dst bigint, weight double")
+    a = np.zeros((N, N))
+    for s, d, w in LINKS:
+        if w and w > 0:
+            a[s, d] = a[s, d] + w if merge == "sum" else max(a[s, d], w)
+    a = np.where(np.eye(N) > 0, a, a + a.T if merge == "sum" else np.maximum(a, a.T))
+    looped = a + np.diag(np.where(np.diag(a) > 0, 0.0, 1.0))
+    graph = G.Graph.build(nodes, edges, merge=merge)
+    assert {(r.row, r.col): r.value for r in G.adjacency(edges, merge=merge).collect()} == {(i, j): a[i, j] for i, j in zip(*np.nonzero(a), strict=True)}
+    scale = 1 / np.sqrt(looped.sum(1))
+    want = looped * scale[:, None] * scale[None, :]
+    got = {(r.src, r.dst): r.weight for r in G.gcn_edge_weights(graph).collect()}
+    assert got == pytest.approx({(i, j): want[i, j] for i, j in zip(*np.nonzero(want), strict=True)})
+    assert matrix(L.gcn_propagate(graph, vectors)) == pytest.approx(want @ x)
+    w1, w2 = fx.formula_linear(4, 5), fx.formula_linear(4, 5, bias=False)
+    raw = lin(w1, a @ x) + lin(w2, x)
+    assert matrix(L.sage_layer(graph, vectors, w1, w2)) == pytest.approx(raw / np.linalg.norm(raw, axis=1, keepdims=True))
+    assert matrix(L.gin_layer(graph, vectors, L.Mlp((w1,)))) == pytest.approx(lin(w1, x + a @ x))
+    layer = fx.formula_attention(5, 3, 2, True)
+    h = lin(layer.project, x).reshape(N, 3, 2)
+    e = (h * layer.source).sum(2)[None] + (h * layer.target).sum(2)[:, None]
+    mass = np.exp(np.where(e > 0, e, 0.2 * e)) * looped[:, :, None]
+    alpha = mass / mass.sum(1, keepdims=True)
+    assert matrix(L.gat_layer(graph, vectors, layer)) == pytest.approx(np.einsum("tsh,shw->thw", alpha, h).reshape(N, -1) + layer.bias)
+    for r in L.gat_attention(graph, vectors, layer).collect():
+        assert r.alpha == pytest.approx(alpha[r.dst, r.src])
+    with pytest.raises(ValueError, match="unknown merge"):
+        G.adjacency(edges, merge="mean")
+
+
+def test_weights_of_one_change_nothing(spark, tables):
+    nodes, edges, vectors, _ = tables
+    plain, ones = G.Graph.build(nodes, edges), G.Graph.build(nodes, edges.withColumn("weight", F.lit(1.0)))
+    layer, attention = fx.formula_linear(3, 5), fx.formula_attention(5, 3, 2, False)
+    for apply in (
+        lambda g: L.gcn_layer(g, vectors, layer), lambda g: L.sage_layer(g, vectors, layer, layer.without_bias()),
+        lambda g: L.gin_layer(g, vectors, L.Mlp((layer,))), lambda g: L.gat_layer(g, vectors, attention),
+    ):
+        assert matrix(apply(ones)) == pytest.approx(matrix(apply(plain)))
+
+
 def test_models(graph, tables):
     _, _, vectors, x = tables
     a, b, c = fx.formula_linear(4, 5), fx.formula_linear(4, 4), fx.formula_linear(3, 4)
