@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import layers as L
 from ..operators import metrics as M
 from ..operators import ordering as O
+from ..operators import refresh, seeds
 from ..operators import training
 from ..session import scratch_path
 from ..sources import sinks
@@ -385,6 +386,17 @@ CONCAT = "f as (select node_id, i, x from y union all select node_id, i + 64, x
 SUM = "f as (select node_id, i, y.x + x0.x as x from y join x0 using (node_id, i))"
 
 
+CHANGED = "x0 as (select vec_id as node_id, unnest(range(0, 64)) as i, unnest(embedding)::double * case when vec_id % 50 = 0 then -1.0::double else 1.0::double end as x from embeddings)"
+
+
+@query("refresh_node_vectors", f"{S.with_(S.VEC_GRAPH, CHANGED)}, {gcn2_sql()}{S.rows_of('y')}")
+def refresh_node_vectors(spark, sf):
+    graph, layers = vector_graph(spark, sf), gcn2_layers()
+    state = refresh.node_state(graph, x0(spark, sf), layers)
+    batch = x0(spark, sf).filter(F.col("node_id") % 50 == 0).withColumn("vec", V.scale(F.col("vec"), F.lit(-1.0)))
+    return long(refresh.refresh_node_vectors(graph, state, batch, layers).nodes)
+
+
 @query("fuse_concat", f"{BASE}, {gcn2_sql(64)}, {CONCAT}{S.rows_of('f')}")
 def fuse_concat(spark, sf):
     return long(U.fuse_concat(_n(spark, sf), x0(spark, sf)))
@@ -430,6 +442,21 @@ def train_node_classifier(spark, sf):
     )
 
 
+SEEDED = f"{PRED}, many as (select *, unnest(range(1, 11))::integer as seed from preds), sp as (select seed, {S.MODE} as mode from {S.split_sql('many', 'seed', 'seed')})"
+
+
+@query("train_ten_seeds", f"with {SEEDED} select seed, mode, count(*) as n, true as optimal from sp group by 1, 2")
+def train_ten_seeds(spark, sf):
+    nodes = fx.predictions(spark, sf).select("node_id", "label")
+    around = training.smooth(vector_graph(spark, sf), x0(spark, sf), 2)
+    models = seeds.train_seeds(nodes, around, classes=10, tol=2e-7, max_iter=1000)
+    best = F.create_map(*[x for s, g in models.gradients.items() for x in (F.lit(s), F.lit(g < 1e-6))])
+    return (
+        seeds.predict_seeds(models).join(O.split_many(nodes), ["seed", "node_id"])
+        .groupBy("seed", "mode").agg(F.count("*").alias("n")).withColumn("optimal", best[F.col("seed")])
+    )
+
+
 @query("train_fused_classifier", f"with {PRED_SPLIT} {TRAINED} from sp group by 1")
 def train_fused_classifier(spark, sf):
     done = training.train_fused_classifier(

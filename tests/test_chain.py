@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from linkloom.operators import training
+from linkloom.operators import ordering, seeds, training
 from linkloom.operators.graph import Graph
 from linkloom.plans import fixtures as fx
 from linkloom.plans.dataset import LinkedTexts
@@ -21,6 +22,35 @@ def test_every_check_has_a_query():
     assert set(QUERIES) == set(CHECKS)
 
 
+def test_ten_seeds_equal_ten_single_fits(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    label = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 4)) + label[:, None] * [1.0, -1.0, 0.5, 0.0]
+    nodes = spark.createDataFrame(list(enumerate(label.tolist())), "node_id bigint, label int")
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "node_id bigint, vec array<double>").repartition(3)
+    chosen = range(1, 11)
+    models = seeds.train_seeds(nodes, vectors, classes=3, reg=0.01, tol=1e-8, max_iter=500)
+    assert sorted(models.weights) == list(chosen) and max(models.gradients.values()) < 1e-7
+    assert models.passes < 200  # for ten models
+    for seed in (1, 4, 10):
+        done = training.fit_and_predict(
+            ordering.split(nodes, seed=seed), vectors, reg=0.01, max_iter=2000, tol=1e-14, standardize=False
+        )
+        layer = training.learnt_map(done.model)
+        ours = models.weights[seed]
+        assert ours[:, :-1] == pytest.approx(layer.weight, abs=1e-6)
+        assert ours[:, -1] - ours[:, -1].mean() == pytest.approx(layer.bias - layer.bias.mean(), abs=1e-6)
+    alone = seeds.train_seeds(nodes, vectors, seeds=range(4, 5), classes=3, reg=0.01, tol=1e-8, max_iter=500)
+    assert alone.weights[4] == pytest.approx(models.weights[4], abs=1e-6)
+    predicted = {(r.seed, r.node_id): r.pred for r in seeds.predict_seeds(models).collect()}
+    assert len(predicted) == 10 * n
+    w = models.weights[7]
+    assert [predicted[7, i] for i in range(n)] == (x @ w[:, :-1].T + w[:, -1]).argmax(1).tolist()
+    with pytest.raises(ValueError, match="0 to 62"):
+        seeds.train_seeds(nodes, vectors, seeds=range(60, 70), classes=3)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import vectors as V
 from linkloom.operators import components, dense as dense_adjacency, fusion, layers as L, metrics
 from linkloom.operators import graph as G
-from linkloom.operators import softmax
+from linkloom.operators import refresh, softmax
 from linkloom.operators.joins import HotKeys
 from linkloom.plans import fixtures as fx
 
@@ -260,6 +260,37 @@ def test_models(graph, tables):
     assert matrix(L.gcn2_forward(graph, vectors, (a, b, c))) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_refresh_equals_full_recomputation(spark, weighted):
+    rng = np.random.default_rng(4)
+    n = 60
+    # a long path with a few chords: a frontier stays small
+    links = [(i, i + 1, 2.0) for i in range(n - 10)] + [(3, 9, 1.0), (20, 22, 3.0), (7, 7, 1.5)]
+    edges = spark.createDataFrame(links, "src bigint, dst bigint, weight double")
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    built = G.Graph.build(nodes, edges if weighted else edges.drop("weight"))
+    x = rng.normal(size=(n, 5))
+
+    def frame(rows):
+        return spark.createDataFrame([(i, v.tolist()) for i, v in rows], "node_id bigint, vec array<double>")
+
+    layers = (fx.formula_linear(4, 5), fx.formula_linear(6, 4), fx.formula_linear(3, 6))
+    state = refresh.node_state(built, frame(enumerate(x)), layers)
+    for ids in ([0], [8, 30, 59], []):
+        batch = [(i, rng.normal(size=5)) for i in ids]
+        for i, v in batch:
+            x[i] = v
+        extra = [(999, np.zeros(5))] if ids else []
+        state = refresh.refresh_node_vectors(built, state, frame([*batch, *extra]), layers)
+        want = {r.node_id: r.vec for r in L.gcn2_forward(built, frame(enumerate(x)), layers).collect()}
+        got = {r.node_id: r.vec for r in state.nodes.collect()}
+        assert sorted(got) == list(range(n))
+        assert all(got[i] == pytest.approx(want[i]) for i in range(n))
+    first = refresh.frontier(built, spark.createDataFrame([(30,)], "node_id bigint"))
+    assert sorted(r.node_id for r in first.collect()) == [29, 30, 31]
+    assert refresh.part_of(built, first).hops.count() == 9  # three rows to each of the three
+
+
 def test_wide_linear_equals_native(tables):
     _, _, vectors, x = tables
     layer = fx.formula_linear(7, 5)
