@@ -47,7 +47,7 @@ PERCENT = 75
 #: Bound of the broadcast table of frequent shingles.
 FREQUENT = 500_000
 #: Shingles counted together in a task before repeats are sent on.
-WINDOW = 4_000_000
+WINDOW = 1_000_000
 
 #: Parts of the hash range counted per set, for a bound of overlaps.
 PARTS = 128
@@ -110,7 +110,7 @@ def frequent_shingles(docs: DataFrame, *, limit: int = FREQUENT, width: int = WI
 
         def repeats():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > 2
+            often = counts > 1
             return pa.RecordBatch.from_arrays(
                 [pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "count"]
             )
