@@ -12,6 +12,7 @@ from ..operators import ordering as O
 from ..operators import tfidf
 from ..session import scratch_path, settle
 from ..sources import readers, sinks
+from ..sources.landing import Landing
 from ..streaming.ingest import ingest_new_articles
 from . import checksql as S
 from . import fixtures as fx
@@ -436,25 +437,27 @@ def assemble_articles(spark, sf):
 
 
 def _land_labelled(spark, sf):
-    """One folder per document of the ``labels`` table."""
-    path = scratch_path(spark, "landed")
+    """Three deliveries of the documents of the ``labels`` table, the last one a repeat."""
+    landing = Landing(spark, scratch_path(spark, "landed"))
     rated = fx.table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("pmid"), F.col("quality").cast("string").alias("label")
     )
-    sinks.write_articles(rated.repartition("pmid"), path, by_id=True)
-    return path
+    good = F.coalesce(F.col("label") == "1", F.lit(False))
+    for part in (rated.filter(good), rated.filter(~good), rated.filter(good)):
+        landing.deliver(part)
+    landing.compact()
+    return landing
 
 
 @query("list_fetched", "select distinct doc_id::varchar as pmid from labels")
 def list_fetched(spark, sf):
-    return readers.landed_ids(spark, _land_labelled(spark, sf), pattern=r"/pmid=([^/]+)/")
+    return _land_labelled(spark, sf).ids()
 
 
 @query("pending_ids", "select doc_id::varchar as pmid from documents except select doc_id::varchar from labels")
 def pending_ids(spark, sf):
-    landed = readers.landed_ids(spark, _land_labelled(spark, sf), pattern=r"/pmid=([^/]+)/")
     wanted = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pmid"))
-    return readers.pending_ids(wanted, landed)
+    return readers.pending_ids(wanted, _land_labelled(spark, sf).ids())
 
 
 @query(

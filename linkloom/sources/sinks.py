@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.articles import drop_raw_fields, history_to_string
@@ -37,6 +37,22 @@ def write_nodes(nodes: DataFrame, path: str) -> None:
     )
 
 
+#: What names a row of metrics.
+METRIC_KEY = ("run", "mode", "epoch")
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows (run, mode, epoch, values)."""
-    metrics.write.mode("append").parquet(path)
+    """Store metric rows (run, mode, epoch, values); a repeated epoch replaces the first.
+
+    Rows lie in a folder per run, mode and epoch (those of them that are columns). The
+    folders of the rows written are overwritten together when the job commits; others are
+    not touched.
+    """
+    key = [c for c in METRIC_KEY if c in metrics.columns]
+    writer = metrics.repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*key).parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored metrics; ``schema`` gives the types of all columns, those of the key included."""
+    return spark.read.schema(schema).parquet(path)

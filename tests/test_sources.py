@@ -2,12 +2,14 @@
 
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.plans.dataset import LinkedTexts
 from linkloom.sources import readers, sinks, split_records
+from linkloom.sources.landing import Landing
 from linkloom.streaming.ingest import ingest_new_articles
 
 
@@ -149,11 +151,38 @@ def test_headerless_files(spark, tmp_path):
     assert rows(got, *got.columns) == [(1, "T, one", 'say "hi"', "train"), (2, "T two", "x", "test")]
 
 
-def test_metrics_append(spark, tmp_path):
-    one = spark.createDataFrame([("r", "valid", 0, 0.5)], "run string, mode string, epoch int, acc double")
-    for _ in range(2):
-        sinks.write_metrics(one, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+def test_metrics_of_an_epoch_are_replaced(spark, tmp_path):
+    schema, path = "run string, mode string, epoch int, acc double", str(tmp_path / "m")
+    for row in (("1", "valid", 0, 0.5), ("1", "valid", 1, 0.6), ("1", "valid", 0, 0.5), ("2", "valid", 0, 0.1), ("1", "valid", 1, 0.7)):
+        sinks.write_metrics(spark.createDataFrame([row], schema), path)
+    want = [("1", "valid", 0, 0.5), ("1", "valid", 1, 0.7), ("2", "valid", 0, 0.1)]
+    assert rows(sinks.read_metrics(spark, path, schema), "run", "mode", "epoch", "acc") == want
+
+
+def test_landing_log(spark, tmp_path):
+    landing = Landing(spark, str(tmp_path))
+    landing.compact()
+    assert landing.ids().count() == 0
+
+    def deliver(*ids):
+        return landing.deliver(spark.createDataFrame([(i, f"text {i}") for i in ids], "pmid string, abstract string"))
+
+    deliver("1", "2")
+    deliver("2", "3", None)
+    # a delivery that was cut off before its entry
+    lost = deliver("9")
+    shutil.rmtree(tmp_path / "log" / f"entry={lost}")
+    for again in range(3):
+        assert rows(landing.ids(), "pmid") == [("1",), ("2",), ("3",)]
+        assert [r[0] for r in rows(landing.entries(), "pmid")] == ["1", "2", "2", "3"]
+        landing.compact()
+        assert len(list((tmp_path / "log").glob("entry=*"))) == 1
+    deliver("9")
+    assert landing.ids().count() == 4
+    assert rows(Landing(spark, str(tmp_path)).ids(), "pmid")[-1] == ("9",)
+    wanted = spark.createDataFrame([("1",), ("7",)], "pmid string")
+    assert rows(readers.pending_ids(wanted, landing.ids()), "pmid") == [("7",)]
+    assert landing.articles("pmid string, abstract string").count() == 7
 
 
 def test_stream_resumes_and_stores_an_id_once(spark, tmp_path):
@@ -168,6 +197,32 @@ def test_stream_resumes_and_stores_an_id_once(spark, tmp_path):
     assert counts == [2, 3, 3]
 
 
+def test_stream_replays_a_cut_off_batch(spark, tmp_path):
+    """The articles of a batch are written, its entry and its commit are not."""
+    landing, store, progress = (tmp_path / n for n in ("landing", "store", "progress"))
+    landing.mkdir()
+
+    def land(name, *ids):
+        (landing / name).write_text("".join(json.dumps({"pmid": i, "abstract": name}) + "\n" for i in ids))
+
+    def run(checkpoint=progress):
+        ingest_new_articles(spark, str(landing), str(store), str(checkpoint))
+        return rows(spark.read.parquet(str(store)), "pmid", "abstract")
+
+    land("a.json", "1", "2", "2", None)
+    assert run() == [("1", "a.json"), ("2", "a.json")]
+    land("b.json", "2", "3")
+    after = run()
+    assert after == [("1", "a.json"), ("2", "a.json"), ("3", "b.json")]
+    for committed in ("1", ".1.crc"):
+        (progress / "commits" / committed).unlink()
+    for entry in (store / "_ids").glob("batch=*-1"):
+        shutil.rmtree(entry)
+    assert run() == after
+    assert run(tmp_path / "other") == after  # a lost checkpoint reads all files again
+    assert not list(progress.glob("state/*"))
+
+
 def test_titled_pages_become_a_graph(spark):
     pages = spark.createDataFrame(
         [(i, t, f"text {t}", i % 2, "train") for i, t in enumerate(["a", "b", "c", "a"])],
