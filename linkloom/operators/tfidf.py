@@ -11,6 +11,10 @@ import functools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -19,7 +23,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import as_array
+from ..session import store
 
+#: Terms a task holds before it sends them on; rows and cells per row (a power of two) of a sketch.
+HELD_TERMS = 500_000
+SKETCH_ROWS, SKETCH_BITS = 4, 16
 #: Width of the features and document-frequency limits (shares of n).
 DIM = 512
 MIN_DF = 0.001
@@ -42,26 +50,117 @@ def term_frequency(nodes: DataFrame) -> DataFrame:
     return tokens.groupBy("node_id", "term").agg(F.count("*").alias("tf"))
 
 
+def _batch_counts(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``(terms, df, total)`` of a batch of token lists, without a step per token."""
+    rows = pc.list_parent_indices(tokens).to_numpy()
+    coded = pc.dictionary_encode(tokens.flatten())
+    codes, terms = coded.indices.to_numpy(), coded.dictionary
+    pairs = np.unique(rows.astype(np.int64) * len(terms) + codes)
+    size = len(terms)
+    return terms, np.bincount(pairs % max(1, size), minlength=size), np.bincount(codes, minlength=size)
+
+
+def _counted(tokens: DataFrame, keep=None) -> DataFrame:
+    """``(term, df, total)`` from ``tokens`` arrays; ``keep(terms)`` may rule terms out before the shuffle."""
+
+    def count(batches):
+        held, rows = [], 0
+
+        def merged():
+            table = pa.Table.from_batches(held)
+            sums = table.group_by("term").aggregate([("df", "sum"), ("total", "sum")])
+            return pa.RecordBatch.from_arrays(
+                [sums.column(c).combine_chunks() for c in ("term", "df_sum", "total_sum")], names=["term", "df", "total"]
+            )
+
+        for batch in batches:
+            terms, df, total = _batch_counts(batch.column("tokens"))
+            found = pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "total"])
+            if keep is not None and found.num_rows:
+                found = found.filter(pa.array(keep(terms)))
+            held.append(found)
+            rows += found.num_rows
+            if rows > HELD_TERMS:
+                some = merged()
+                if some.num_rows > HELD_TERMS // 2:
+                    yield some
+                    held, rows = [], 0
+                else:
+                    held, rows = [some], some.num_rows
+        if held:
+            yield merged()
+
+    partial = tokens.select("tokens").mapInArrow(count, "term string, df long, total long")
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 def document_frequency(nodes: DataFrame) -> DataFrame:
     """``(term, df, total)``: documents holding a term and its total count.
 
-    A text is one row, so its distinct terms are found in the row. Every token is
-    sent once for the total and every distinct term once more for ``df``; both
-    combine per task before the one shuffle, by term.
+    A text is one row, so its distinct terms are found in its task; a task sends each
+    term once, with both counts, for the one shuffle by term.
     """
-    tokens = tokenize(nodes, keep=())
-    each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
-    once = F.transform(
-        F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))
-    )
-    return (
-        tokens.select(F.explode(F.concat(each, once)).alias("t"))
-        .groupBy("t.term")
-        .agg(
-            F.sum(F.col("t.first").cast("bigint")).alias("df"),
-            F.sum((1 - F.col("t.first")).cast("bigint")).alias("total"),
-        )
-    )
+    return _counted(tokenize(nodes, keep=()))
+
+
+class TermSketch:
+    """Count-Min sketch of document frequencies (Cormode and Muthukrishnan, 2005).
+
+    An estimate is never below the true count, so what it rules out is rightly out.
+    """
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    @staticmethod
+    def places(terms: pa.Array) -> np.ndarray:
+        """The cell of each term in each row of the sketch."""
+        hashed = pd.util.hash_array(terms.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+        low, high = hashed & np.uint64(0xFFFFFFFF), (hashed >> np.uint64(32)) | np.uint64(1)
+        rows = np.arange(SKETCH_ROWS, dtype=np.uint64)[:, None]
+        return (((low + rows * high) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - SKETCH_BITS)).astype(np.int64)
+
+    def estimate(self, terms: pa.Array) -> np.ndarray:
+        return np.min(np.take_along_axis(self.cells, self.places(terms), axis=1), axis=0)
+
+
+def term_sketch(tokens: DataFrame) -> TermSketch:
+    """One sketch per task, added up in groups of tasks; a sketch has 2 MB at any size."""
+    shape = (SKETCH_ROWS, 1 << SKETCH_BITS)
+
+    def sketch(batches):
+        cells = np.zeros(shape, dtype=np.int64)
+        for batch in batches:
+            terms, df, _ = _batch_counts(batch.column("tokens"))
+            if len(terms):
+                for row, places in zip(cells, TermSketch.places(terms), strict=True):
+                    np.add.at(row, places, df)
+        yield pa.RecordBatch.from_pydict({"cells": [cells.tobytes()]})
+
+    def added(batches):
+        total = None
+        for batch in batches:
+            for one in batch.column("cells"):
+                cells = np.frombuffer(one.as_buffer(), dtype=np.int64)
+                total = cells.copy() if total is None else total + cells
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"cells": [total.tobytes()]})
+
+    groups = max(1, int(float(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    merged = tokens.select("tokens").mapInArrow(sketch, "cells binary").repartition(groups).mapInArrow(added, "cells binary")
+    found = [np.frombuffer(r["cells"], dtype=np.int64) for r in merged.collect()]
+    return TermSketch(np.sum(found, axis=0).reshape(shape) if found else np.zeros(shape, dtype=np.int64))
+
+
+def frequent_terms(tokens: DataFrame, least: int) -> DataFrame:
+    """``document_frequency`` of the terms that at least ``least`` documents hold, by two passes.
+
+    The first pass makes a sketch, which rules out nearly all rare terms; the second one
+    counts the others exactly. Rare terms, which grow with the corpus, are never shuffled.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast(term_sketch(tokens))
+    counted = _counted(tokens, lambda terms: shared.value.estimate(terms) >= least)
+    return counted.filter(F.col("df") >= least)
 
 
 def prune_vocabulary(
@@ -92,8 +191,13 @@ def vocabulary(
     nodes: DataFrame, *, dim: int = DIM, min_df: float = MIN_DF, max_df: float = MAX_DF
 ) -> DataFrame:
     """``(term, df, total, n, col)`` for the kept terms."""
-    pruned = prune_vocabulary(document_frequency(nodes), nodes, min_df=min_df, max_df=max_df)
-    return vocabulary_index(top_terms(pruned, dim=dim))
+    return _vocabulary(store(tokenize(nodes, keep=()), "tokens"), dim=dim, min_df=min_df, max_df=max_df)
+
+
+def _vocabulary(tokens: DataFrame, *, dim: int, min_df: float, max_df: float) -> DataFrame:
+    n = tokens.count()
+    frequent = frequent_terms(tokens, math.ceil(min_df * n))
+    return vocabulary_index(top_terms(prune_vocabulary(frequent, tokens, min_df=min_df, max_df=max_df), dim=dim))
 
 
 @dataclass(frozen=True)
@@ -113,7 +217,8 @@ class TfidfModel:
         counter = CountVectorizerModel.from_vocabulary(
             list(self.terms), inputCol="tokens", outputCol=vec
         )
-        return counter.transform(tokenize(nodes)).drop("tokens")
+        tokens = nodes if "tokens" in nodes.columns else tokenize(nodes)
+        return counter.transform(tokens.select("node_id", "tokens")).drop("tokens")
 
     def weighted(self, nodes: DataFrame) -> DataFrame:
         """``(node_id, vec)``: counts times idf, sparse, not normalised."""
@@ -161,8 +266,9 @@ class TfidfModel:
 def fit_tfidf(
     nodes: DataFrame, *, dim: int = DIM, min_df: float = MIN_DF, max_df: float = MAX_DF
 ) -> TfidfModel:
-    """Fit on all texts. Only the kept terms (at most ``dim`` rows) reach the driver."""
-    rows = vocabulary(nodes, dim=dim, min_df=min_df, max_df=max_df).orderBy("col").collect()
+    """Fit on all texts, or on ``tokens`` arrays. Only the kept terms (at most ``dim`` rows) reach the driver."""
+    tokens = nodes if "tokens" in nodes.columns else store(tokenize(nodes, keep=()), "tokens")
+    rows = _vocabulary(tokens, dim=dim, min_df=min_df, max_df=max_df).orderBy("col").collect()
     if not rows:
         raise ValueError("no term is left: loosen min_df or max_df")
     return TfidfModel(
@@ -178,10 +284,9 @@ def vectorize_texts(
     max_df: float = MAX_DF,
     to_sparse: bool = True,
 ) -> DataFrame:
-    """Fit and apply: ``(node_id, vec)``."""
-    return fit_tfidf(nodes, dim=dim, min_df=min_df, max_df=max_df).vectors(
-        nodes, to_sparse=to_sparse
-    )
+    """Fit and apply: ``(node_id, vec)``. Texts are cut into words once, and these are stored."""
+    tokens = store(tokenize(nodes), "tokens")
+    return fit_tfidf(tokens, dim=dim, min_df=min_df, max_df=max_df).vectors(tokens, to_sparse=to_sparse)
 
 
 def l2_normalize_long(features: DataFrame) -> DataFrame:

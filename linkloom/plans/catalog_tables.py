@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import articles as A
 from ..operators import citations as C
 from ..operators import ordering as O
 from ..operators import tfidf
-from ..session import scratch_path, settle
+from ..session import scratch_path, settle, store
 from ..sources import readers, sinks
 from ..sources.landing import Landing
 from ..streaming.ingest import ingest_new_articles
@@ -552,8 +554,9 @@ def document_frequency(spark, sf):
 
 @query("prune_vocabulary", f"with {TEXTS}, {S.tfidf('texts')} select term, df, total from pruned")
 def prune_vocabulary(spark, sf):
-    nodes = fx.texts(spark, sf)
-    return tfidf.prune_vocabulary(tfidf.document_frequency(nodes), nodes).drop("n")
+    tokens = store(tfidf.tokenize(fx.texts(spark, sf)), "tokens")
+    frequent = tfidf.frequent_terms(tokens, math.ceil(tfidf.MIN_DF * tokens.count()))
+    return tfidf.prune_vocabulary(frequent, tokens).drop("n")
 
 
 @query("top_terms", f"with {TEXTS}, {S.tfidf('texts')} select term, df, total from top")
@@ -570,14 +573,14 @@ def vocabulary_index(spark, sf):
 
 @query("tfidf", f"with {TEXTS}, {S.tfidf('texts')} select node_id, term, {S.num('v')} as value from w")
 def tfidf_values(spark, sf):
-    nodes = fx.texts(spark, sf)
+    nodes = store(tfidf.tokenize(fx.texts(spark, sf)), "tokens")
     model = tfidf.fit_tfidf(nodes)
     return model.long(model.weighted(nodes)).withColumn("value", num("value"))
 
 
 @query("tfidf_l2", f"with {TEXTS}, {S.tfidf('texts')} select node_id, term, {S.num('x')} as value from unit")
 def tfidf_l2(spark, sf):
-    nodes = fx.texts(spark, sf)
+    nodes = store(tfidf.tokenize(fx.texts(spark, sf)), "tokens")
     model = tfidf.fit_tfidf(nodes)
     return model.long(model.vectors(nodes)).withColumn("value", num("value"))
 

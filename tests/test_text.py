@@ -5,6 +5,10 @@ import re
 import unicodedata
 from collections import Counter
 
+import random
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 
 from linkloom.functions.text import fold_text
@@ -88,3 +92,27 @@ def test_applying_a_vocabulary_needs_no_shuffle(nodes):
     model = tfidf.fit_tfidf(nodes, dim=5, min_df=0.001, max_df=0.5)
     plan = model.vectors(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_sketch_rules_out_rare_terms_only(spark, monkeypatch):
+    draw = random.Random(7)
+    texts = [" ".join([f"w{draw.randrange(30)}" for _ in range(draw.randrange(40))] + [f"junk{i}x{k}" for k in range(60)]) for i in range(300)]
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "w1 w1 w1"])], "node_id bigint, text string").repartition(5)
+    tokens = tfidf.tokenize(nodes)
+    want = Counter(t for text in [*texts, "w1"] for t in set(text.split()))
+    total = Counter(t for text in [*texts, "w1 w1 w1"] for t in text.split())
+    sketch = tfidf.term_sketch(tokens)
+    names = sorted(want)
+    estimates = dict(zip(names, sketch.estimate(pa.array(names)).tolist(), strict=True))
+    assert all(estimates[t] >= want[t] for t in names)
+    rare = [t for t in names if t.startswith("junk")]
+    assert sum(estimates[t] >= 5 for t in rare) < 0.01 * len(rare)
+    for held in (500_000, 50):
+        monkeypatch.setattr(tfidf, "HELD_TERMS", held)
+        every = {r.term: (r.df, r.total) for r in tfidf.document_frequency(nodes).collect()}
+        assert every == {t: (want[t], total[t]) for t in names}
+        for least in (1, 5, 200):
+            got = {r.term: (r.df, r.total) for r in tfidf.frequent_terms(tokens, least).collect()}
+            assert got == {t: x for t, x in every.items() if x[0] >= least}
+    none = tfidf.tokenize(nodes.limit(0))
+    assert tfidf.frequent_terms(none, 1).count() == 0 and tfidf.document_frequency(nodes.limit(0)).count() == 0
