@@ -40,9 +40,10 @@ PIECES = (
 
 
 def cut_pieces(docs: DataFrame, *, tokenizer: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
-    """Encode ``(doc_id, text)`` and cut; stored in the shared folder, ids as 16 bits where they fit.
+    """Encode ``(doc_id, text)`` and cut; stored in the shared folder.
 
-    ``rank`` counts the pieces of one length in one task, ``(part, row)`` names a piece.
+    A full piece is a sequence of its own and is never cut again, so only shorter pieces
+    keep their ids. ``rank`` counts the pieces of one length in one task, ``(part, row)`` names a piece.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -60,7 +61,8 @@ def cut_pieces(docs: DataFrame, *, tokenizer: str, end_id: int = END_ID, window:
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
                     length = len(piece) // 4
-                    out.append((doc_id, start, length, zlib.crc32(piece), total, piece, part, row, int(ranks[length])))
+                    kept = piece if length < window else None
+                    out.append((doc_id, start, length, zlib.crc32(piece), total, kept, part, row, int(ranks[length])))
                     ranks[length] += 1
                     row += 1
             columns = list(zip(*out, strict=True))
