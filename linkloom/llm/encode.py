@@ -29,7 +29,7 @@ _PLAIN = re.compile(f"[\x00-\x7f{_LETTER}]*")
 _CUT = f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_LETTER}0-9{_GAP}]+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]+"
 _CUTS = re.compile(_CUT)
 #: Pieces whose ids a worker remembers: up to twice as many, the longest unused go first.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 LONGEST = 64
 #: The id written after each document.
 END_ID = 0
@@ -120,7 +120,18 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _merge(self, cuts: set[str]) -> None:
+    def _new(self, pieces: set[str]) -> list[str]:
+        """The pieces without ids; those used a while ago are taken up again."""
+        known, older = self.known, self.older
+        new = []
+        for piece in pieces.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
+        return new
+
+    def _merge(self, cuts: list[str]) -> None:
         """The ids of new cuts of the pattern, by the merge model."""
         known, alphabet, tokenize = self.known, self.alphabet, self.model.tokenize
         for cut in cuts:
@@ -130,7 +141,7 @@ class Encoder:
                 signs = cut.encode().decode("latin-1").translate(alphabet)
             known[cut] = array("I", [token.id for token in tokenize(signs)]).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode other new pieces, one to a line; white space alone."""
         lines = []
         for piece in pieces:
@@ -157,15 +168,13 @@ class Encoder:
         cut = [self._cut(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        wanted = (self.cuts | self.others) - known.keys()
-        for piece in wanted & older.keys():
-            known[piece] = older[piece]
-        new = wanted - known.keys()
-        self._merge(new & self.cuts)
-        self._learn(new - self.cuts)
+        known = self.known
+        new = self._new(self.cuts)
+        self._merge(new)
+        others = self._new(self.others)
+        self._learn(others)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
+        for piece in (*new, *others):
             if len(piece) > LONGEST:
                 del known[piece]
         return out
