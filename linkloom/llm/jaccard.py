@@ -11,12 +11,21 @@ What is asked for are links up to connection, so not every pair is verified:
 
 1. In a shingle's list, ordered by size, each group is paired with the one before it and
    with the first; in a group, each member with the first. Verified links give components.
-2. Lists whose groups lie in several components are still open. Each is put in a random
-   order of its own and neighbours of different components are verified; dense groups
-   of near copies grow together here.
-3. In lists still open, every pair of groups of different components that passes the
-   filters is verified, except pairs done before. A pair left out is either filtered or
-   inside one component.
+2. Lists whose groups lie in several components are still open, and so are groups whose
+   members do. Each list is put in a random order of its own and neighbours of different
+   components are verified; dense groups of near copies grow together here. Rounds go on
+   while each takes away a fifth of the open pairs or more.
+3. In lists still open, every pair of different components that passes the filters is
+   verified, except pairs done before. A pair left out is either filtered or inside one
+   component.
+
+From step 2 on, pairs are also filtered by bitmaps (Sandes et al., "Bitmap filter", 2020):
+each shingle flips one of ``64 * WORDS`` bits of its set, so two sets differ in at least
+as many shingles as their bitmaps differ in bits. For several sets together, bits that
+are set in all of one side and in none of the other count.
+
+A very long list is dealt in random parts for steps 1 and 2; step 3 covers what lies in
+different parts.
 
 The order of shingles is a bounded table of the most frequent ones (``FREQUENT``) with
 the rest by hash; any order gives the same links, a better one gives fewer candidates.
@@ -51,6 +60,14 @@ WINDOW = 1_000_000
 
 #: Parts of the hash range counted per set, for a bound of overlaps.
 PARTS = 128
+#: Words of 64 bits in the bitmap of a set.
+WORDS = 8
+#: A round of step 2 is followed by another if it leaves less than this share of the open pairs.
+SHRINK = 0.8
+#: Rows before it that a row is compared with in step 2.
+REACH = 3
+#: Rows of a list that one task sorts.
+LIST_PART = 20_000
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -85,6 +102,11 @@ class Order:
         at[at == len(self.frequent)] = 0
         return np.where(self.frequent[at] == shingles, self.counts[at], 0)
 
+    def list_parts(self, shingles: np.ndarray, group: int) -> np.ndarray:
+        """The part of each shingle's list that a group goes to; 0 where lists are whole."""
+        parts = self._ranks(shingles) // LIST_PART if len(self.frequent) else np.zeros(len(shingles), dtype=np.int64)
+        return np.where(parts > 0, 1 + group % (parts + 1), 0)
+
     def prefix(self, shingles: np.ndarray, size: int) -> np.ndarray:
         """The first ``size`` of some sorted shingles in this order."""
         if not len(self.frequent):
@@ -143,19 +165,26 @@ def _fingerprints(shingles: np.ndarray) -> tuple[int, int]:
         )
 
 
+def _bitmap(shingles: np.ndarray) -> list[int]:
+    """The parity of shingles at each of ``64 * WORDS`` places."""
+    places = (shingles & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    odd = np.bincount(places, minlength=64 * WORDS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def _columns(rows: list[tuple], names: str, kinds: str) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(names.split())
-    types = {"l": pa.int64(), "b": pa.binary()}
+    types = {"l": pa.int64(), "b": pa.binary(), "w": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays(
         [pa.array(values, types[kind]) for values, kind in zip(columns, kinds, strict=True)], names=names.split()
     )
 
 
 def document_classes(docs: DataFrame, order, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, t, n, a, b, g, parts)``: the size of each document's set, its class and group.
+    """``(doc_id, t, n, a, b, g, parts, bits)``: the size of each document's set, its class and group.
 
     ``parts`` counts the shingles in each of ``PARTS`` parts of the hash range; the sum
-    of smaller counts bounds the overlap of two sets from above.
+    of smaller counts bounds the overlap of two sets from above. ``bits`` is the bitmap.
     """
 
     def describe(batches):
@@ -165,11 +194,11 @@ def document_classes(docs: DataFrame, order, *, percent: int = PERCENT, width: i
             for (doc_id, t), shingles in zip(keys, shingle_sets(batch, width), strict=True):
                 parts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype("<u4")
                 group = _group(order.value, shingles, percent)
-                rows.append((doc_id, t, len(shingles), *_fingerprints(shingles), group, parts.tobytes()))
-            yield _columns(rows, "doc_id t n a b g parts", "llllllb")
+                rows.append((doc_id, t, len(shingles), *_fingerprints(shingles), group, parts.tobytes(), _bitmap(shingles)))
+            yield _columns(rows, "doc_id t n a b g parts bits", "llllllbw")
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(
-        describe, "doc_id long, t long, n long, a long, b long, g long, parts binary"
+        describe, "doc_id long, t long, n long, a long, b long, g long, parts binary, bits array<long>"
     )
 
 
@@ -184,7 +213,7 @@ def _group(order: Order, shingles: np.ndarray, percent: int) -> int:
 
 
 def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``(shingle, g, place)``: prefixes of groups; ``place`` is size * 2**32 + position.
+    """``(shingle, g, place, part)``: prefixes of groups; ``place`` is size * 2**32 + position.
 
     A task sends each group once, so copies do not pile up in a shingle's list.
     """
@@ -192,7 +221,7 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
     def send(batches):
         seen: set[int] = set()
         for batch in hashing.text_steps(batches):
-            shingles_, groups, places = [], [], []
+            shingles_, groups, places, parts = [], [], [], []
             for shingles in shingle_sets(batch, width):
                 size = len(shingles)
                 if not size:
@@ -205,13 +234,18 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
                 shingles_.append(prefix)
                 groups.append(np.full(len(prefix), group, dtype=np.int64))
                 places.append((size << 32) + np.arange(len(prefix), dtype=np.int64))
+                parts.append(order.value.list_parts(prefix, group))
             if shingles_:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(shingles_).view(np.int64)), pa.array(np.concatenate(groups)), pa.array(np.concatenate(places))],
-                    names=["shingle", "g", "place"],
+                    [
+                        pa.array(np.concatenate(shingles_).view(np.int64)),
+                        *[pa.array(np.concatenate(x)) for x in (groups, places)],
+                        pa.array(np.concatenate(parts).astype(np.int32)),
+                    ],
+                    names=["shingle", "g", "place", "part"],
                 )
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(send, "shingle long, g long, place long")
+    return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(send, "shingle long, g long, place long, part int")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -279,21 +313,124 @@ def _pairs(one, other) -> list:
     return [F.least(one, other).alias("left"), F.greatest(one, other).alias("right")]
 
 
-def _open_lists(shared: DataFrame, grouped: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the lists whose groups lie in several components; members; units.
+def _fits(one, other, percent: int):
+    """Whether sizes and places of a shared shingle allow two sets to be similar."""
+    size = [F.shiftright(place, 32) for place in (one, other)]
+    rest = [n - place.bitwiseAND(F.lit(0xFFFFFFFF)) for n, place in zip(size, (one, other), strict=True)]
+    return (100 * F.least(*size) >= percent * F.greatest(*size)) & (
+        (100 + percent) * F.least(*rest) >= percent * (size[0] + size[1])
+    )
+
+
+def _bits_fit(one: str, other: str, percent: int):
+    """Whether bitmaps and sizes allow two units to hold similar sets.
+
+    ``all`` has the bits set in all bitmaps of a unit, ``any`` those set in one or more.
+    """
+    differ = [
+        F.bit_count(
+            F.col(f"{one}.all{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}.any{i}"))).bitwiseOR(
+                F.col(f"{other}.all{i}").bitwiseAND(F.bitwise_not(F.col(f"{one}.any{i}")))
+            )
+        )
+        for i in range(WORDS)
+    ]
+    sizes = F.shiftright(F.col(f"{one}.place"), 32) + F.shiftright(F.col(f"{other}.place"), 32)
+    return (100 + percent) * sum(differ[1:], differ[0]) <= (100 - percent) * sizes
+
+
+_ALL = [f"all{i}" for i in range(WORDS)]
+_ANY = [f"any{i}" for i in range(WORDS)]
 
-    A unit is what one group has in one component. ``_outside`` marks rows that are not
-    in the component most frequent in their list.
+
+def _members(grouped: DataFrame, parts: DataFrame) -> DataFrame:
+    return grouped.join(parts.withColumnRenamed("node_id", "rep"), "rep").select("g", "n", "rep", "component", "bits")
+
+
+def _open_lists(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the lists that lie in several components; stored.
+
+    ``inner`` lists hold the members of one group, the others the units of a shingle: a unit
+    is what one group has in one component. ``_outside`` marks rows that are not in the
+    component most frequent in their list, ``_rows`` counts a list.
     """
-    members = grouped.join(parts.withColumnRenamed("node_id", "rep"), "rep").select("g", "rep", "component")
-    units = members.groupBy("g", "component").agg(F.min("rep").alias("unit"))
-    rows = shared.select("shingle", "g", "place").distinct().join(units, "g")
-    counts = rows.groupBy("shingle", "component").agg(F.count("*").alias("_n"))
-    open_ = counts.groupBy("shingle").agg(
-        F.count("*").alias("_parts"), F.max(F.struct("_n", "component")).alias("_main")
-    ).filter(F.col("_parts") > 1).select("shingle", F.col("_main.component").alias("_main"))
-    opened = rows.join(open_, "shingle").withColumn("_outside", F.col("component") != F.col("_main")).drop("_main")
-    return store(opened, "open-lists"), members, units
+    units = members.groupBy("g", "component").agg(
+        F.min("rep").alias("unit"),
+        *[F.bit_and(F.col("bits")[i]).alias(name) for i, name in enumerate(_ALL)],
+        *[F.bit_or(F.col("bits")[i]).alias(name) for i, name in enumerate(_ANY)],
+    )
+    mixed = units.groupBy("g").count().filter(F.col("count") > 1).select("g")
+    apart = members.join(mixed, "g", "left_semi").select(
+        F.lit(True).alias("inner"), F.col("g").alias("key"), "g", F.shiftleft("n", 32).alias("place"), "component",
+        F.col("rep").alias("unit"), *[F.col("bits")[i].alias(name) for names in (_ALL, _ANY) for i, name in enumerate(names)],
+    )
+    columns = ["inner", "key", "g", "place", "component", "unit", *_ALL, *_ANY]
+    # which lists are open is decided on narrow rows
+    narrow = lists.join(units.select("g", "component"), "g").select(F.lit(False).alias("inner"), "key", "component")
+    counts = narrow.unionByName(apart.select("inner", "key", "component")).groupBy("inner", "key", "component").agg(
+        F.count("*").alias("_n")
+    )
+    open_ = counts.groupBy("inner", "key").agg(
+        F.count("*").alias("_parts"), F.sum("_n").alias("_rows"), F.max(F.struct("_n", "component")).alias("_main")
+    ).filter(F.col("_parts") > 1).select("inner", "key", "_rows", F.col("_main.component").alias("_main"))
+    outer = lists.join(open_.filter(~F.col("inner")), "key").join(units, "g")
+    inner = apart.join(open_.filter("inner"), ["inner", "key"])
+    opened = outer.unionByName(inner).withColumn("_outside", F.col("component") != F.col("_main"))
+    return store(opened.select(*columns, "_rows", "_outside"), "open-lists")
+
+
+def _neighbours(opened: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of different components that are neighbours in a random order of their list."""
+    part = F.pmod(F.xxhash64("unit", F.lit(turn)), F.ceil(F.col("_rows") / LIST_PART))
+    order = Window.partitionBy("inner", "key", "_part").orderBy(
+        F.xxhash64("key", "unit", "component", F.lit(turn)), "unit", "component"
+    )
+    here = F.struct("unit", "component", "place", *_ALL, *_ANY)
+    return opened.select("inner", "key", here.alias("_x"), "unit", "component", part.alias("_part")).select(
+        "_x", F.array(*[F.lag("_x", i).over(order) for i in range(1, REACH + 1)]).alias("_before")
+    ).select("_x", F.explode("_before").alias("_o")).filter(
+        F.col("_o").isNotNull() & (F.col("_x.component") != F.col("_o.component"))
+        & _fits(F.col("_x.place"), F.col("_o.place"), percent) & _bits_fit("_x", "_o", percent)
+    ).select(*_pairs(F.col("_x.unit"), F.col("_o.unit"))).distinct()
+
+
+def _open_pairs(opened: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that are open: of different components, in one list, fit in size and place."""
+    one, two = opened.filter("_outside").alias("one"), opened.alias("two")
+    crossing = one.join(
+        two, (F.col("one.inner") == F.col("two.inner")) & (F.col("one.key") == F.col("two.key"))
+    ).filter(
+        (F.col("one.component") != F.col("two.component"))
+        & (~F.col("two._outside") | (F.col("one.unit") < F.col("two.unit")))
+        & _fits(F.col("one.place"), F.col("two.place"), percent)
+        & _bits_fit("one", "two", percent)
+    ).select(
+        F.col("one.inner").alias("_inner"), F.col("one.g").alias("_g1"), F.col("one.component").alias("_c1"),
+        F.col("one.unit").alias("_u1"), F.col("two.g").alias("_g2"), F.col("two.component").alias("_c2"),
+        F.col("two.unit").alias("_u2"),
+    ).distinct()
+    in_one = members.select(F.col("g").alias("_g1"), F.col("component").alias("_c1"), F.col("rep").alias("_r1"))
+    in_two = members.select(F.col("g").alias("_g2"), F.col("component").alias("_c2"), F.col("rep").alias("_r2"))
+    expanded = crossing.filter(~F.col("_inner")).join(in_one, ["_g1", "_c1"]).join(in_two, ["_g2", "_c2"])
+    return expanded.select(*_pairs("_r1", "_r2")).unionByName(
+        crossing.filter("_inner").select(*_pairs("_u1", "_u2"))
+    ).distinct()
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node_id, component)`` after some links, which are contracted to their components first."""
+    ends = [parts.select(F.col("node_id").alias(side), F.col("component").alias(name)) for side, name in (("left", "src"), ("right", "dst"))]
+    edges = store(
+        links.join(ends[0], "left").join(ends[1], "right").filter(F.col("src") != F.col("dst"))
+        .select("src", "dst").distinct(),
+        "component-links",
+    )
+    nodes = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).distinct()
+    moved = connected_components(nodes, edges).select(F.col("node_id").alias("component"), F.col("component").alias("_to"))
+    return store(
+        parts.join(moved, "component", "left").select("node_id", F.coalesce("_to", "component").alias("component")),
+        "merged-components",
+    )
 
 
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int = FREQUENT) -> DataFrame:
@@ -305,35 +442,29 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = store(
         described.filter(usable).groupBy("n", "a", "b", "g").agg(
-            F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"), F.first("parts").alias("parts")
+            F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"), F.first("parts").alias("parts"),
+            F.first("bits").alias("bits"),
         ),
         "shingle-classes",
     )
     heads = classes.groupBy("g").agg(F.min("rep").alias("head"), F.max("rep").alias("_last"))
     # 1. neighbours in the lists, and members of a group with its first
-    by_size = Window.partitionBy("shingle").orderBy("place", "g")
+    by_size = Window.partitionBy("shingle", "part").orderBy("place", "g")
     lists = prefix_lists(docs, order, percent=percent).withColumn(
         "_before", F.lag(F.struct("g", "place")).over(by_size)
     ).withColumn("_first", F.first(F.struct("g", "place")).over(by_size)).withColumn(
         "_after", F.lead("g").over(by_size)
     )
     shared = store(
-        lists.filter((F.col("g") != F.col("_first.g")) | (F.col("g") != F.coalesce("_after", "g"))), "shared-prefixes"
+        lists.filter(
+            (F.col("part") > 0) | (F.col("g") != F.col("_first.g")) | (F.col("g") != F.coalesce("_after", "g"))
+        ),
+        "shared-prefixes",
     )
     drop_finished(spark)
 
-    def size(place):
-        return F.shiftright(place, 32)
-
-    def fits(one, other):
-        small, large = F.least(size(one), size(other)), F.greatest(size(one), size(other))
-        left = F.least(
-            size(one) - one.bitwiseAND(F.lit(0xFFFFFFFF)), size(other) - other.bitwiseAND(F.lit(0xFFFFFFFF))
-        )
-        return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (small + large))
-
     near = shared.select("g", "place", F.explode(F.array("_before", "_first")).alias("_o")).filter(
-        F.col("_o").isNotNull() & (F.col("g") != F.col("_o.g")) & fits(F.col("place"), F.col("_o.place"))
+        F.col("_o").isNotNull() & (F.col("g") != F.col("_o.g")) & _fits(F.col("place"), F.col("_o.place"), percent)
     ).select(*[c.alias(n) for c, n in zip((F.least("g", "_o.g"), F.greatest("g", "_o.g")), ("_one", "_two"), strict=True)]).distinct()
     first = heads.select(F.col("g").alias("_one"), F.col("head").alias("_h1"))
     second = heads.select(F.col("g").alias("_two"), F.col("head").alias("_h2"))
@@ -357,50 +488,33 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     drop_finished(spark)
     links = similar(done, classes, texts, percent=percent)
     nodes = classes.select(F.col("rep").alias("node_id")).distinct()
-
-    def components(edges):
-        return connected_components(nodes, edges.select(F.col("left").alias("src"), F.col("right").alias("dst")))
-
-    parts = store(components(links), "first-components")
-    # 2. neighbours in lists that are still open, each list in an order of its own
-    grouped = classes.join(several, "g", "left_semi").select("g", "rep")
-    opened, _, _ = _open_lists(shared, grouped, parts)
-    mixed_up = Window.partitionBy("shingle").orderBy(F.xxhash64("shingle", "g", "component"), "g", "component")
-    tried = opened.select(
-        "unit", "component", "place", F.lag(F.struct("unit", "component", "place")).over(mixed_up).alias("_o")
-    ).filter(
-        F.col("_o").isNotNull() & (F.col("component") != F.col("_o.component")) & fits(F.col("place"), F.col("_o.place"))
-    ).select(*_pairs(F.col("unit"), F.col("_o.unit"))).distinct()
-    tried = store(tried.join(done, ["left", "right"], "left_anti"), "middle-pairs")
-    middle = similar(tried, classes, texts, percent=percent)
-    if not middle.isEmpty():
-        done, links = done.unionByName(tried), links.unionByName(middle)
-        parts = store(components(links), "middle-components")
-    # 3. all that is still open
-    opened, members, units = _open_lists(shared, grouped, parts)
-    one, two = opened.filter("_outside").alias("one"), opened.alias("two")
-    crossing = one.join(two, F.col("one.shingle") == F.col("two.shingle")).filter(
-        (F.col("one.component") != F.col("two.component"))
-        & (~F.col("two._outside") | (F.col("one.unit") < F.col("two.unit")))
-        & fits(F.col("one.place"), F.col("two.place"))
-    ).select(
-        F.col("one.g").alias("_g1"), F.col("one.component").alias("_c1"),
-        F.col("two.g").alias("_g2"), F.col("two.component").alias("_c2"),
-    ).distinct()
-    in_one = members.select(F.col("g").alias("_g1"), F.col("component").alias("_c1"), F.col("rep").alias("_r1"))
-    in_two = members.select(F.col("g").alias("_g2"), F.col("component").alias("_c2"), F.col("rep").alias("_r2"))
-    # members of one group in several components are open among themselves
-    mixed = units.groupBy("g").agg(F.count("*").alias("_parts")).filter(F.col("_parts") > 1)
-    apart = members.join(mixed, "g", "left_semi")
-    within = apart.alias("x").join(apart.alias("y"), F.col("x.g") == F.col("y.g")).filter(
-        (F.col("x.component") != F.col("y.component")) & (F.col("x.rep") < F.col("y.rep"))
-    ).select(F.col("x.rep").alias("left"), F.col("y.rep").alias("right"))
-    rest = crossing.join(in_one, ["_g1", "_c1"]).join(in_two, ["_g2", "_c2"]).select(*_pairs("_r1", "_r2"))
-    todo = store(
-        rest.unionByName(within).distinct().join(done, ["left", "right"], "left_anti"), "second-pairs"
+    parts = store(
+        connected_components(nodes, links.select(F.col("left").alias("src"), F.col("right").alias("dst"))),
+        "first-components",
     )
+    # 2. neighbours in lists that are still open
+    grouped = classes.join(several, "g", "left_semi").select("g", "n", "rep", "bits")
+    lists = shared.select(F.col("shingle").alias("key"), "g", "place").distinct()
+    turn, before = 0, None
+    while True:
+        members = _members(grouped, parts)
+        opened = _open_lists(lists, members)
+        open_rows, open_pairs = opened.agg(F.count("*"), F.sum(F.when(F.col("_outside"), F.col("_rows")))).first()
+        if (open_pairs or 0) <= open_rows or (before is not None and open_pairs >= SHRINK * before):
+            break
+        near = _neighbours(opened, turn, percent).join(done, ["left", "right"], "left_anti")
+        tried = store(near, "close-pairs")
+        links = similar(tried, classes, texts, percent=percent)
+        done = done.unionByName(tried)
+        if links.isEmpty():
+            break
+        parts = _merged(parts, links)
+        lists = opened.filter(~F.col("inner")).select("key", "g", "place").distinct()
+        turn, before = turn + 1, open_pairs
+    # 3. all that is still open
+    todo = store(_open_pairs(opened, members, percent).join(done, ["left", "right"], "left_anti"), "open-pairs")
     more = similar(todo, classes, texts, percent=percent)
-    final = parts if more.isEmpty() else components(links.unionByName(more))
+    final = parts if more.isEmpty() else _merged(parts, more)
     known = classes.join(final.withColumnRenamed("node_id", "rep"), "rep").select("n", "a", "b", "component")
     return described.join(known, ["n", "a", "b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -279,6 +279,34 @@ def test_similar_sets(spark, documents, odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_bitmaps_never_rule_out_similar_sets(spark):
+    draw = np.random.default_rng(5)
+    kinds = "all any".split()
+    rows, similar = [], []
+    for i in range(300):
+        one = hashing.mix(draw.integers(0, 1 << 40, draw.integers(1, 400)).astype(np.uint64))
+        other = np.where(draw.random(len(one)) < draw.choice([0.0, 0.1, 0.15, 0.5]), hashing.mix(one + np.uint64(1)), one)
+        one, other = np.unique(one), np.unique(other)
+        units = [
+            (len(x) << 32, *[w for _ in kinds for w in jaccard._bitmap(x)]) for x in (one, other)
+        ]
+        rows.append((i, *units))
+        both = len(np.intersect1d(one, other))
+        similar.append(100 * both >= 75 * (len(one) + len(other) - both))
+    unit = "struct<place:long," + ",".join(f"{k}{i}:long" for k in kinds for i in range(jaccard.WORDS)) + ">"
+    made = spark.createDataFrame(rows, f"i long, x {unit}, y {unit}")
+    kept = {r.i for r in made.filter(jaccard._bits_fit("x", "y", 75)).select("i").collect()}
+    assert {i for i, is_similar in enumerate(similar) if is_similar} <= kept
+    assert len(kept) < 1.2 * sum(similar)
+
+
+def test_long_lists_are_dealt_in_parts():
+    order = jaccard.Order(np.array([3, 9], dtype=np.uint64), np.array([10, 5 * jaccard.LIST_PART]))
+    found = [order.list_parts(np.array([3, 5, 9], dtype=np.uint64), g).tolist() for g in range(-6, 7)]
+    assert {x[0] for x in found} == {x[1] for x in found} == {0}
+    assert {x[2] for x in found} == {1, 2, 3, 4, 5, 6}
+
+
 # ------------------------------------------------------- 5. and 9. token ids
 
 
