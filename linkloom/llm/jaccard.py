@@ -19,7 +19,7 @@ What is asked for are links up to connection, so not every pair is verified:
    verified, except pairs done before. A pair left out is either filtered or inside one
    component.
 
-From step 2 on, pairs are also filtered by bitmaps (Sandes et al., "Bitmap filter", 2020):
+Pairs are also filtered by bitmaps, from step 2 on before they leave a list (Sandes et al., "Bitmap filter", 2020):
 each shingle flips one of ``64 * WORDS`` bits of its set, so two sets differ in at least
 as many shingles as their bitmaps differ in bits. For several sets together, bits that
 are set in all of one side and in none of the other count.
@@ -58,8 +58,6 @@ FREQUENT = 500_000
 #: Shingles counted together in a task before repeats are sent on.
 WINDOW = 1_000_000
 
-#: Parts of the hash range counted per set, for a bound of overlaps.
-PARTS = 128
 #: Words of 64 bits in the bitmap of a set.
 WORDS = 8
 #: A round of step 2 is followed by another if it leaves less than this share of the open pairs.
@@ -181,24 +179,19 @@ def _columns(rows: list[tuple], names: str, kinds: str) -> pa.RecordBatch:
 
 
 def document_classes(docs: DataFrame, order, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, t, n, a, b, g, parts, bits)``: the size of each document's set, its class and group.
-
-    ``parts`` counts the shingles in each of ``PARTS`` parts of the hash range; the sum
-    of smaller counts bounds the overlap of two sets from above. ``bits`` is the bitmap.
-    """
+    """``(doc_id, t, n, a, b, g, bits)``: the size of each document's set, its class, group and bitmap."""
 
     def describe(batches):
         for batch in hashing.text_steps(batches):
             rows = []
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), strict=True)
             for (doc_id, t), shingles in zip(keys, shingle_sets(batch, width), strict=True):
-                parts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=PARTS).astype("<u4")
                 group = _group(order.value, shingles, percent)
-                rows.append((doc_id, t, len(shingles), *_fingerprints(shingles), group, parts.tobytes(), _bitmap(shingles)))
-            yield _columns(rows, "doc_id t n a b g parts bits", "llllllbw")
+                rows.append((doc_id, t, len(shingles), *_fingerprints(shingles), group, _bitmap(shingles)))
+            yield _columns(rows, "doc_id t n a b g bits", "llllllw")
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(
-        describe, "doc_id long, t long, n long, a long, b long, g long, parts binary, bits array<long>"
+        describe, "doc_id long, t long, n long, a long, b long, g long, bits array<long>"
     )
 
 
@@ -251,27 +244,17 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
 def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The pairs ``(left, right)`` of class documents whose whole sets are similar; stored.
 
-    Pairs that the counts by part rule out go first; whole sets travel for the others only.
+    Pairs that the bitmaps rule out go first; whole sets travel for the others only.
     """
     sides = [
-        classes.select(F.col("rep").alias(side), F.col("parts").alias(f"_{side}"))
-        for side in ("left", "right")
+        classes.select(F.col("rep").alias(side), F.struct("n", "bits").alias(f"_{side}")) for side in ("left", "right")
     ]
-
-    def possible(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, PARTS).astype(np.int64)
-                for c in ("_left", "_right")
-            )
-            both, total = np.minimum(one, two).sum(axis=1), one.sum(axis=1) + two.sum(axis=1)
-            yield batch.select(["left", "right"]).filter(pa.array(100 * both >= percent * (total - both)))
-
+    differ = [
+        F.bit_count(F.col("_left.bits")[i].bitwiseXOR(F.col("_right.bits")[i])) for i in range(WORDS)
+    ]
+    possible = (100 + percent) * sum(differ[1:], differ[0]) <= (100 - percent) * (F.col("_left.n") + F.col("_right.n"))
     likely = store(
-        pairs.join(sides[0], "left").join(sides[1], "right").select("left", "right", "_left", "_right")
-        .mapInArrow(possible, "left long, right long"),
+        pairs.join(sides[0], "left").join(sides[1], "right").filter(possible).select("left", "right").distinct(),
         "likely-pairs",
     )
     drop_finished(pairs.sparkSession)
@@ -442,8 +425,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = store(
         described.filter(usable).groupBy("n", "a", "b", "g").agg(
-            F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"), F.first("parts").alias("parts"),
-            F.first("bits").alias("bits"),
+            F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"), F.first("bits").alias("bits"),
         ),
         "shingle-classes",
     )
@@ -494,11 +476,13 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     )
     # 2. neighbours in lists that are still open
     grouped = classes.join(several, "g", "left_semi").select("g", "n", "rep", "bits")
-    lists = shared.select(F.col("shingle").alias("key"), "g", "place").distinct()
+    lists = store(shared.select(F.col("shingle").alias("key"), "g", "place").distinct(), "lists")
+    drop_finished(spark)
     turn, before = 0, None
     while True:
         members = _members(grouped, parts)
         opened = _open_lists(lists, members)
+        drop_finished(spark)
         open_rows, open_pairs = opened.agg(F.count("*"), F.sum(F.when(F.col("_outside"), F.col("_rows")))).first()
         if (open_pairs or 0) <= open_rows or (before is not None and open_pairs >= SHRINK * before):
             break
