@@ -100,6 +100,19 @@ def test_dense_adjacency_has_a_bound(tables):
     assert dense_adjacency.adjacency_tiles(tables[0].limit(0), tables[1].limit(0)).count() == 0
 
 
+def test_tiles_without_link_are_not_filled(spark):
+    """Of 25 tiles four hold a link; only these are sorted and filled, the others are made in place."""
+    nodes = spark.range(9).withColumnRenamed("id", "node_id")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (8, 8)], "src bigint, dst bigint")
+    _, cells, n = dense_adjacency._positions(nodes, edges, 9)
+    placed = cells.selectExpr("row div 2 as row_block", "col div 2 as col_block", "row", "col", "value")
+    empty = {(t.row_block, t.col_block): t for t in dense_adjacency._empty_tiles(placed, n, 2).collect()}
+    assert set(empty) == {(i, j) for i in range(5) for j in range(5)} - {(0, 0), (0, 1), (1, 0), (4, 4)}
+    for (i, j), t in empty.items():
+        assert (t.rows, t.cols) == (2 - (i == 4), 2 - (j == 4)) and t.entries == [0.0] * (t.rows * t.cols)
+    assert dense_adjacency.adjacency_tiles(nodes, edges, tile=2).count() == 25
+
+
 def test_degrees_and_weights(graph):
     got = {r.node_id: (r.degree, r.loop_degree) for r in G.degrees(graph).collect()}
     assert got == {i: (dense()[i].sum(), looped()[i].sum()) for i in range(N)}
