@@ -113,6 +113,16 @@ def test_tiles_without_link_are_not_filled(spark):
     assert dense_adjacency.adjacency_tiles(nodes, edges, tile=2).count() == 25
 
 
+@pytest.mark.parametrize("n", [3, 64, 150])
+def test_listed_cells(spark, n):
+    """All cells of whole rows, the same column of up to 64 rows side by side."""
+    rows = spark.range(n, numPartitions=1).selectExpr("id as node_id", "transform(sequence(0, 4), d -> double(id * 10 + d)) as vec")
+    got = dense_adjacency.listed_cells(rows).collect()
+    assert sorted((r.node_id, r.dim, r.value) for r in got) == [(i, d, float(i * 10 + d)) for i in range(n) for d in range(5)]
+    turns = 1 + sum(a.dim != b.dim for a, b in zip(got, got[1:]))
+    assert turns == 5 * -(-n // 64)
+
+
 def test_degrees_and_weights(graph):
     got = {r.node_id: (r.degree, r.loop_degree) for r in G.degrees(graph).collect()}
     assert got == {i: (dense()[i].sum(), looped()[i].sum()) for i in range(N)}
