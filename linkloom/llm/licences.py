@@ -4,12 +4,13 @@ A paragraph is a line of a text. Its features are word n-grams (1 to 3 words) th
 least one marker: a word of the templates that is no common word. A paragraph without a
 marker has no features and is unknown by definition, so it is passed over. A multinomial
 logistic regression on hashed features gives the family. It learns from the templates,
-from shortened templates, from notices that name no licence, and from at most
-``MAX_SAMPLE`` lines of the corpus (the smallest hashes), which stand for the unknown
-class. A family counts only above a threshold set on the other half of those lines, so
-that at most ``FALSE_SHARE`` of them would pass. A prediction is confirmed when word pairs of
-the paragraph, or of some part of it as long as the template, and of a template of that
-family agree by ``CONFIRM`` (Jaccard), so a notice within a longer line counts as well.
+from shortened templates, from notices that name no licence, and from the lines of the whole
+corpus without licence words whose hash is even, which stand for the unknown class with
+a weight of at most ``UNKNOWN_WEIGHT`` together. A family counts only above a threshold that
+``1 - FALSE_SHARE`` of the other half of those lines, whose hash is odd, do not exceed. Equal
+lines are one row with a count, and lines without a marker, which have no features, are only
+counted. A prediction is confirmed when word pairs of the paragraph, or of some part of it as
+long as the template, and of a template of that family agree by ``CONFIRM`` (Jaccard), so a notice within a longer line counts as well.
 
 Only built-in functions and Spark's own classifier are used, all of it in the JVM.
 
@@ -29,7 +30,10 @@ from ..session import store
 from .lines import text_lines
 from .registry import query, table
 
-MAX_SAMPLE = 2000
+#: What all lines of the corpus together weigh in training; an example weighs 1.
+UNKNOWN_WEIGHT = 1000
+#: Parts of a range that a threshold is looked for in, and times they are parted again: 2^-48 in all.
+QUANTILE_PARTS, QUANTILE_ROUNDS = 4096, 4
 FALSE_SHARE = 0.01
 CONFIRM = 0.5
 UNKNOWN = "unknown"
@@ -122,6 +126,7 @@ MARKERS = sorted({
     w for notices in TEMPLATES.values() for text in notices for w in _words(text)
     if w not in COMMON and not w.isdigit() and (len(w) > 2 or w == "cc")
 })
+_LICENCE_WORDS = r"(?i)licen[cs]e|copyright|spdx"
 _MARKED = r"(?i)(?<![a-z0-9])(?:" + "|".join(MARKERS) + r")(?![a-z0-9])"
 
 
@@ -154,6 +159,56 @@ def _examples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, line string")
 
 
+def marked_lines(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """``(*keep, paragraph, line)``: the lines that hold a marker."""
+    return docs.filter(F.col(text).rlike(_MARKED)).select(
+        *keep, F.posexplode(text_lines(F.col(text))).alias("paragraph", "line")
+    ).filter(F.col("line").rlike(_MARKED))
+
+
+def corpus_lines(docs: DataFrame, marked: DataFrame, *, text: str = "text") -> DataFrame:
+    """``(line, half, n)``: how often each marked line without licence words stands in the corpus.
+
+    Each half (0 or 1, by the hash of a line) has an empty line for all lines without a marker.
+    """
+
+    def plain(lines: DataFrame) -> DataFrame:
+        known = lines.filter((F.length("line") > 0) & ~F.col("line").rlike(_LICENCE_WORDS))
+        return known.withColumn("half", F.abs(F.xxhash64("line") % 2).cast("int"))
+
+    counted = store(plain(marked.select("line")).groupBy("line", "half").agg(F.count("*").alias("n")), "licence-lines")
+    every = plain(docs.select(F.explode(text_lines(F.col(text))).alias("line")))
+    rest = every.groupBy("half").agg(F.count("*").alias("n")).unionByName(
+        counted.select("half", (-F.col("n")).alias("n"))
+    ).groupBy("half").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    return counted.unionByName(store(rest.select(F.lit("").alias("line"), "half", "n"), "licence-rest"))
+
+
+def weighted_quantile(rows: DataFrame, share: float) -> float | None:
+    """The smallest ``probability`` not below ``share`` of the rows, each of which stands for ``n``.
+
+    Counts by part of a range come to the driver, then those by part of the part that
+    holds the value, so no task has all values.
+    """
+    low, width, left = 0.0, 1.0, None
+    for _ in range(QUANTILE_ROUNDS):
+        below = F.col("probability") < low + width if low + width < 1.0 else F.lit(True)  # 1 itself is in the last part
+        inside = rows.filter((F.col("probability") >= low) & below)
+        width /= QUANTILE_PARTS
+        part = F.least(F.floor((F.col("probability") - low) / width), F.lit(QUANTILE_PARTS - 1)).alias("part")
+        counts = inside.groupBy(part).agg(F.sum("n").alias("n"), F.max("probability").alias("most")).orderBy("part").collect()
+        if not counts:
+            return None
+        if left is None:
+            left = share * sum(row["n"] for row in counts)
+        for row in counts:
+            if row["n"] >= left or row is counts[-1]:
+                break
+            left -= row["n"]
+        low += row["part"] * width
+    return row["most"]
+
+
 class LicenceModel:
     """The classifier, its families by index, and the threshold of the unknown class."""
 
@@ -166,29 +221,22 @@ class LicenceModel:
         return HashingTF(numFeatures=1 << 13, binary=True, inputCol="_grams", outputCol="features").transform(tokens)
 
     @classmethod
-    def fit(cls, docs: DataFrame, *, text: str = "text", max_sample: int = MAX_SAMPLE) -> LicenceModel:
-        spark = docs.sparkSession
+    def fit(cls, docs: DataFrame, *, text: str = "text", marked: DataFrame | None = None) -> LicenceModel:
+        """``marked`` are the marked lines of ``docs``, where they are at hand."""
         families = [UNKNOWN, *sorted(TEMPLATES)]
-        # one line of a document each: the sample is bounded and spread over documents
-        line = F.element_at(text_lines(F.col(text)), 1)
-        sample = store(
-            docs.select(line.alias("line")).filter(F.length("line") > 0)
-            .withColumn("_order", F.xxhash64("line")).orderBy("_order", "line").limit(max_sample)
-            .filter(~F.col("line").rlike(r"(?i)licen[cs]e|copyright|spdx")),
-            "licence-sample",
-        )
-        learn = _examples(spark).unionByName(
-            sample.filter(F.col("_order") % 2 == 0).select(F.lit(UNKNOWN).alias("family"), "line")
+        lines = corpus_lines(docs, marked_lines(docs, text=text) if marked is None else marked, text=text)
+        learnt = lines.filter("half = 0")
+        total = learnt.agg(F.sum("n")).first()[0] or 0
+        weight = F.col("n") * F.lit(min(1.0, UNKNOWN_WEIGHT / max(1, total)))
+        learn = _examples(docs.sparkSession).withColumn("weight", F.lit(1.0)).unionByName(
+            learnt.select(F.lit(UNKNOWN).alias("family"), "line", weight.alias("weight"))
         )
         number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-        ready = cls._hashed(learn.withColumn("label", number.cast("double")))
-        model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(
-            ready.select("label", "features").coalesce(2).persist()
-        )
-        scored = cls(model, families, 0.0).score(
-            sample.filter(F.col("_order") % 2 != 0).select("line")
-        )
-        high = scored.agg(F.expr(f"percentile(probability, {1 - FALSE_SHARE})")).first()[0]
+        ready = cls._hashed(learn.withColumn("label", number.cast("double"))).select("label", "weight", "features").persist()
+        model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, weightCol="weight").fit(ready)
+        ready.unpersist()
+        scored = cls(model, families, 0.0).score(lines.filter("half = 1").select("line", "n"))
+        high = weighted_quantile(store(scored.select("probability", "n"), "licence-scores"), 1 - FALSE_SHARE)
         return cls(model, families, min(0.95, max(0.5, high or 0.0)))
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -209,11 +257,11 @@ def scan_licences(docs: DataFrame, *, text: str = "text", model: LicenceModel |
 
     A row for every paragraph with a marker; ``family`` is unknown below the threshold.
     """
-    model = model or LicenceModel.fit(docs, text=text)
     spark = docs.sparkSession
-    lines = docs.filter(F.col(text).rlike(_MARKED)).select(
-        "doc_id", F.posexplode(text_lines(F.col(text))).alias("paragraph", "line")
-    ).filter(F.col("line").rlike(_MARKED))
+    lines = marked_lines(docs, "doc_id", text=text)
+    if model is None:
+        lines = store(lines, "marked-lines")
+        model = LicenceModel.fit(docs, text=text, marked=lines)
     scored = model.score(lines)
     templates = spark.createDataFrame(
         [(family, i, text_) for family, notices in TEMPLATES.items() for i, text_ in enumerate(notices)],

@@ -232,6 +232,25 @@ def test_licence_within_a_longer_line(spark, documents):
     assert not found[2][1], found
 
 
+def test_licence_lines_of_the_whole_corpus_count(spark):
+    """Not first lines and not some thousand lines: every line without licence words, with its count."""
+    texts = [f"first {i}\nThe public foundation of town {i % 40} met.\n\nThis license is none.\nlast {i}" for i in range(3000)]
+    made = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")
+    lines = licences.corpus_lines(made, licences.marked_lines(made)).collect()
+    assert sum(r.n for r in lines) == 3 * 3000
+    assert {r.line: r.n for r in lines if r.line} == {f"The public foundation of town {i} met.": 75 for i in range(40)}
+    assert sum(not r.line for r in lines) == 2
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.99, 1.0])
+def test_weighted_quantile(spark, share):
+    rows = [(0.0, 5), (1e-9, 1), (0.25, 3), (0.25 + 1e-12, 2), (0.7, 88), (1.0, 1)]
+    every = sorted(p for p, n in rows for _ in range(n))
+    want = every[max(0, int(np.ceil(share * len(every))) - 1)]
+    assert licences.weighted_quantile(spark.createDataFrame(rows, "probability double, n long"), share) == want
+    assert licences.weighted_quantile(spark.createDataFrame([], "probability double, n long"), share) is None
+
+
 # --------------------------------------------------------- 4. similar sets
 
 
