@@ -28,6 +28,8 @@ from ..session import store
 #: Terms a task holds before it sends them on; rows and cells per row (a power of two) of a sketch.
 HELD_TERMS = 500_000
 SKETCH_ROWS, SKETCH_BITS = 4, 16
+#: Tokens that a task counts at once, whatever the size of the batches it gets.
+COUNTED_TOKENS = 1 << 19
 #: Width of the features and document-frequency limits (shares of n).
 DIM = 512
 MIN_DF = 0.001
@@ -50,6 +52,19 @@ def term_frequency(nodes: DataFrame) -> DataFrame:
     return tokens.groupBy("node_id", "term").agg(F.count("*").alias("tf"))
 
 
+def _token_slices(batches):
+    """The token lists of all batches, at most ``COUNTED_TOKENS`` tokens at once; a text stays whole."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        ends = tokens.offsets.to_numpy()[1:]
+        start = 0
+        while start < len(tokens):
+            base = tokens.offsets[start].as_py()
+            end = max(start + 1, int(np.searchsorted(ends, base + COUNTED_TOKENS, side="right")))
+            yield tokens.slice(start, end - start)
+            start = end
+
+
 def _batch_counts(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """``(terms, df, total)`` of a batch of token lists, without a step per token."""
     rows = pc.list_parent_indices(tokens).to_numpy()
@@ -73,8 +88,8 @@ def _counted(tokens: DataFrame, keep=None) -> DataFrame:
                 [sums.column(c).combine_chunks() for c in ("term", "df_sum", "total_sum")], names=["term", "df", "total"]
             )
 
-        for batch in batches:
-            terms, df, total = _batch_counts(batch.column("tokens"))
+        for tokens in _token_slices(batches):
+            terms, df, total = _batch_counts(tokens)
             found = pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(total, pa.int64())], names=["term", "df", "total"])
             if keep is not None and found.num_rows:
                 found = found.filter(pa.array(keep(terms)))
@@ -130,8 +145,8 @@ def term_sketch(tokens: DataFrame) -> TermSketch:
 
     def sketch(batches):
         cells = np.zeros(shape, dtype=np.int64)
-        for batch in batches:
-            terms, df, _ = _batch_counts(batch.column("tokens"))
+        for tokens in _token_slices(batches):
+            terms, df, _ = _batch_counts(tokens)
             if len(terms):
                 for row, places in zip(cells, TermSketch.places(terms), strict=True):
                     np.add.at(row, places, df)

@@ -116,3 +116,20 @@ def test_sketch_rules_out_rare_terms_only(spark, monkeypatch):
             assert got == {t: x for t, x in every.items() if x[0] >= least}
     none = tfidf.tokenize(nodes.limit(0))
     assert tfidf.frequent_terms(none, 1).count() == 0 and tfidf.document_frequency(nodes.limit(0)).count() == 0
+
+
+def test_tokens_are_counted_in_bounded_slices(monkeypatch):
+    """Batches of any size are cut by tokens; nulls, empty texts and longer ones than a slice are counted too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tfidf, "COUNTED_TOKENS", 10)
+    lists = [["a", "b"] * 3, None, [], ["b"] * 7, ["c", "a"] * 20, *[["d", "a"]] * 30, []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], names=["tokens"]).slice(skip) for part, skip in ((lists, 0), ([["x"] * 3, *lists], 1))]
+    slices = list(tfidf._token_slices(batches))
+    assert sum((part.to_pylist() for part in slices), []) == lists * 2
+    assert max(len(part.flatten()) for part in slices if len(part) > 1) <= 10
+    df, total = {}, {}
+    for part in slices:
+        for term, d, t in zip(*(list(x) for x in tfidf._batch_counts(part)), strict=True):
+            df[term.as_py()], total[term.as_py()] = df.get(term.as_py(), 0) + d, total.get(term.as_py(), 0) + t
+    assert df == {"a": 64, "b": 4, "c": 2, "d": 60} and total == {"a": 106, "b": 20, "c": 40, "d": 60}
