@@ -59,18 +59,19 @@ def clean_keys(articles: DataFrame, *carried) -> DataFrame:
     return kept.drop("abstract")
 
 
-def clean_articles(articles: DataFrame) -> DataFrame:
+def clean_articles(articles: DataFrame, *, keys: DataFrame | None = None) -> DataFrame:
     """Raw articles to nodes without ids.
 
     What stays is decided on narrow columns; the texts are joined once, by order and id.
-    Optional columns (authors, title, history) are carried when present.
+    Optional columns (authors, title, history) are carried when present. ``keys`` are the
+    ``clean_keys`` of the articles where they are at hand, with any columns to add.
     """
     columns = [F.col("abstract").alias("text")]
     columns += [name for name in ("authors", "title") if name in articles.columns]
     if "history" in articles.columns:
         columns.append(first_event_time("history").alias("time"))
     texts = articles.select("ord", "pmid", *columns)
-    return texts.join(clean_keys(articles), ["ord", "pmid"]).drop("pmid")
+    return texts.join(clean_keys(articles) if keys is None else keys, ["ord", "pmid"]).drop("pmid")
 
 
 def check_order(kept: DataFrame) -> DataFrame:

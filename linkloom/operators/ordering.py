@@ -101,9 +101,9 @@ def dense_id_map(df: DataFrame, order: str, *carried: str, name: str = "node_id"
     )
 
 
-def dense_ids(df: DataFrame, order: str, *, name: str = "node_id") -> DataFrame:
-    """Add consecutive ids from 0 in the given (unique) order."""
-    return df.join(dense_id_map(df, order, name=name), order)
+def dense_ids(df: DataFrame, order: str, *, name: str = "node_id", onto: DataFrame | None = None) -> DataFrame:
+    """Add consecutive ids from 0 in the given (unique) order, to the rows of ``onto`` if given."""
+    return (df if onto is None else onto).join(dense_id_map(df, order, name=name), order)
 
 
 def _mode_of(rank: Column, total: Column) -> Column:

@@ -494,9 +494,14 @@ def sink_articles_json(spark, sf):
 )
 def sink_nodes_csv(spark, sf):
     path = scratch_path(spark, "nodes")
-    clean = A.clean_articles(fx.articles_full(spark, sf))
-    modes = O.split(clean.select("text_id"), id="text_id").select("text_id", "mode")
-    nodes = O.dense_ids(clean.join(modes, "text_id"), "ord")
+    articles = fx.articles_full(spark, sf)
+    # ids and splits are settled on narrow columns, so that texts are joined once, with all of them
+    rows = settle(A.without_texts(fx.articles_full(spark, sf, texts=False)))
+    keys = settle(A.clean_keys(rows))
+    clean = settle(A.clean_articles(rows, keys=keys).select("ord", "text_id"))
+    modes = settle(O.split(clean.select("text_id"), id="text_id").select("text_id", "mode"))
+    numbered = O.dense_ids(clean.join(modes, "text_id"), "ord", onto=clean.distinct().join(modes, "text_id"))
+    nodes = A.clean_articles(articles, keys=keys.join(numbered, ["ord", "text_id"]))
     sinks.write_nodes(nodes.select("node_id", "text_id", "label", "title", "authors", "text", "time", "mode"), path)
     back = readers.read_nodes(
         spark, path,

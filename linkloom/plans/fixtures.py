@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Linear, linear
+from ..operators.articles import without_texts
 from ..operators.layers import Attention
 
 
@@ -111,9 +112,10 @@ def doc_authors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def articles_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw articles with title, authors and history."""
-    base = articles(spark, sf).withColumn("doc_id", F.col("pmid").cast("bigint"))
+def articles_full(spark: SparkSession, sf: str, *, texts: bool = True) -> DataFrame:
+    """Raw articles with title, authors and history; without ``texts``, with a flag in their place."""
+    raw = articles(spark, sf)
+    base = (raw if texts else without_texts(raw)).withColumn("doc_id", F.col("pmid").cast("bigint"))
     authors = doc_authors(spark, sf).groupBy(F.col("node_id").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.col("author").cast("string"))).alias("authors")
     )

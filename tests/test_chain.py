@@ -132,3 +132,26 @@ def test_scan_reads_only_needed_columns(spark):
     plan = entry.queries()["edges_known_endpoints"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     lineitem = [line for line in plan.splitlines() if "lineitem" in line]
     assert lineitem and all("ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int>" in x for x in lineitem)
+
+
+def _write_tables(spark, path):
+    spark.range(60).selectExpr("id as doc_id", "concat('text of words, line ', id, '\\nmore') as text", "'en' as lang", "'web' as source", "20L as n_chars").write.parquet(f"{path}/documents.parquet")
+    spark.range(90).selectExpr("id as o_orderkey", "id % 7 as o_custkey").write.parquet(f"{path}/orders.parquet")
+    spark.range(40).selectExpr("id % 10 as user_id", "concat('e', id % 3) as event_type", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(id)) as ts").write.parquet(f"{path}/events.parquet")
+
+
+def test_node_table_joins_its_texts_with_settled_rows(spark, monkeypatch, tmp_path):
+    """Ids and splits do not read the articles again when the texts are written."""
+    from linkloom.plans import catalog_tables
+    from linkloom.sources import sinks
+
+    seen, write = [], sinks.write_nodes
+    monkeypatch.setattr(sinks, "write_nodes", lambda nodes, path: (seen.append(nodes), write(nodes, path)))
+    _write_tables(spark, tmp_path)
+    got = catalog_tables.sink_nodes_csv(spark, str(tmp_path)).collect()
+    kept = [i for i in range(60) if i % 37 != 5 and i % 41 != 7]
+    assert sorted((r.node_id, r.text_id, r.text) for r in got) == [(n, i, f"text of words, line {i}\nmore") for n, i in enumerate(kept)]
+    n_train = int(0.7 * len(kept))
+    assert sum(r["mode"] == "train" for r in got) == n_train
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 12, plan.count("Relation [")
