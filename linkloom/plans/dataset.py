@@ -110,6 +110,7 @@ class LinkedTexts:
         return G.edge_index(self.edges)
 
     def features(self, **options) -> tuple[tfidf.TfidfModel, DataFrame]:
-        """The TF-IDF model fitted on all texts, and the node features."""
-        model = tfidf.fit_tfidf(self.nodes, **options)
-        return model, model.vectors(self.nodes)
+        """The TF-IDF model fitted on all texts, and the node features. Texts are cut into words once."""
+        tokens = store(tfidf.tokenize(self.nodes), "tokens")
+        model = tfidf.fit_tfidf(tokens, **options)
+        return model, model.vectors(tokens)

@@ -155,3 +155,14 @@ def test_node_table_joins_its_texts_with_settled_rows(spark, monkeypatch, tmp_pa
     assert sum(r["mode"] == "train" for r in got) == n_train
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 12, plan.count("Relation [")
+
+
+def test_features_cut_texts_into_words_once(spark, monkeypatch):
+    from linkloom.operators import tfidf
+
+    nodes = spark.range(20).selectExpr("id as node_id", "concat('alpha beta', id % 3) as text")
+    data = LinkedTexts(nodes, spark.createDataFrame([(0, 1)], "src bigint, dst bigint"))
+    calls, cut = [], tfidf.tokenize
+    monkeypatch.setattr(tfidf, "tokenize", lambda *args, **more: (calls.append(1), cut(*args, **more))[1])
+    model, features = data.features(max_df=1.0)
+    assert features.count() == 20 and model.terms == ("alpha", "beta0", "beta1", "beta2") and len(calls) == 1
