@@ -12,7 +12,8 @@ What is asked for are links up to connection, so not every pair is verified:
 1. In a shingle's list, ordered by size, each group is paired with the one before it and
    with the first; in a group, each member with the first. Verified links give components.
 2. Lists whose groups lie in several components are still open, and so are groups whose
-   members do. Each list is put in a random order of its own and neighbours of different
+   members do; a whole list of three groups or less, of one class each, is not, for step 1
+   paired them all. Each list is put in a random order of its own and neighbours of different
    components are verified; dense groups of near copies grow together here. Rounds go on
    while each takes away a fifth of the open pairs or more.
 3. In lists still open, every pair of different components that passes the filters is
@@ -66,6 +67,10 @@ SHRINK = 0.8
 REACH = 3
 #: Rows of a list that one task sorts.
 LIST_PART = 20_000
+#: Groups of a list that step 1 pairs all with each other: each with the one before it and with the first.
+PAIRED = 3
+#: Bits of the broadcast bitmap of wanted ids (4 MB).
+MARKS = 1 << 25
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -241,10 +246,24 @@ def prefix_lists(docs: DataFrame, order, *, percent: int = PERCENT, width: int =
     return docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(send, "shingle long, g long, place long, part int")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def _maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be among ``ids(doc_id)``; keeps all that are.
+
+    The ids are hashed to a bitmap of ``MARKS`` bits, which is broadcast: most other texts
+    need not be shuffled. The join that follows takes out what is left of them.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    block, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    marks = ids.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    byte = F.substring("_marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    marked = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return docs.join(F.broadcast(marks), block == F.col("_block")).filter(marked).select(docs.columns)
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The pairs ``(left, right)`` of class documents whose whole sets are similar; stored.
 
-    Pairs that the bitmaps rule out go first; whole sets travel for the others only.
+    Pairs that the bitmaps rule out go first; texts travel for the others only.
     """
     sides = [
         classes.select(F.col("rep").alias(side), F.struct("n", "bits").alias(f"_{side}")) for side in ("left", "right")
@@ -259,22 +278,25 @@ def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, percent:
     )
     drop_finished(pairs.sparkSession)
     ends = likely.select(F.col("left").alias("rep")).unionByName(likely.select(F.col("right").alias("rep"))).distinct()
-
-    def sets(batches):
-        for batch in hashing.text_steps(batches):
-            rows = zip(batch.column("rep").to_pylist(), shingle_sets(batch, width), strict=True)
-            yield _columns([(rep, shingles.tobytes()) for rep, shingles in rows], "rep set", "lb")
-
-    stored = store(texts.join(ends, "rep", "left_semi").mapInArrow(sets, "rep long, set binary"), "shingle-sets")
+    # an id may have several texts; the hash tells which one stands for the class
+    wanted = store(classes.join(ends, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "t"), "pair-ends")
+    # a merge join leaves the texts dealt by id, as all that follows needs them
+    texts = _maybe_among(docs, wanted.select("doc_id")).join(wanted.hint("merge"), "doc_id").filter(
+        F.xxhash64("text") == F.col("t")
+    ).dropDuplicates(["doc_id", "t"])
     joined = likely.join(
-        stored.select(F.col("rep").alias("left"), F.col("set").alias("_l")), "left"
-    ).join(stored.select(F.col("rep").alias("right"), F.col("set").alias("_r")), "right")
+        texts.select(F.col("doc_id").alias("left"), F.col("text").alias("_l")), "left"
+    ).join(texts.select(F.col("doc_id").alias("right"), F.col("text").alias("_r")), "right")
+
+    def sets(column):
+        distinct = column.dictionary_encode()
+        found = shingle_sets(pa.RecordBatch.from_arrays([distinct.dictionary], names=["text"]), width)
+        return [found[i] for i in distinct.indices.to_pylist()]
 
     def compare(batches):
-        for batch in batches:
+        for batch in hashing.text_steps(batches, "_l"):
             keep = []
-            for left, right in zip(batch.column("_l"), batch.column("_r"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
+            for a, b in zip(sets(batch.column("_l")), sets(batch.column("_r")), strict=True):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
@@ -326,6 +348,24 @@ _ALL = [f"all{i}" for i in range(WORDS)]
 _ANY = [f"any{i}" for i in range(WORDS)]
 
 
+def _untried(shared: DataFrame, plural: DataFrame) -> DataFrame:
+    """``(key, g, place)`` of the lists in which step 1 has not paired all classes.
+
+    Of three groups or less each is the first or next to the others, so a whole list of them
+    is done with if none is ``plural``, that is, of several classes.
+    """
+    rows = shared.select(F.col("shingle").alias("key"), "g", "place", "part")
+    whole = rows.filter(F.col("part") == 0).join(plural.withColumn("_plural", F.lit(True)), "g", "left").select(
+        "key", "g", "place", "_plural"
+    ).repartition("key").distinct()
+    of_list = Window.partitionBy("key")
+    untried = whole.withColumn("_groups", F.count("*").over(of_list)).withColumn(
+        "_any", F.max("_plural").over(of_list)
+    ).filter((F.col("_groups") > PAIRED) | F.col("_any"))
+    parted = rows.filter(F.col("part") > 0).select("key", "g", "place").distinct()
+    return untried.select("key", "g", "place").unionByName(parted)
+
+
 def _members(grouped: DataFrame, parts: DataFrame) -> DataFrame:
     return grouped.join(parts.withColumnRenamed("node_id", "rep"), "rep").select("g", "n", "rep", "component", "bits")
 
@@ -451,32 +491,21 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
     first = heads.select(F.col("g").alias("_one"), F.col("head").alias("_h1"))
     second = heads.select(F.col("g").alias("_two"), F.col("head").alias("_h2"))
     across = near.join(first, "_one").join(second, "_two").select(*_pairs("_h1", "_h2"))
-    inside = classes.join(heads.filter(F.col("head") != F.col("_last")), "g").filter(
-        F.col("rep") != F.col("head")
-    ).select(*_pairs("rep", "head"))
+    plural = store(heads.filter(F.col("head") != F.col("_last")), "plural-groups")
+    inside = classes.join(plural, "g").filter(F.col("rep") != F.col("head")).select(*_pairs("rep", "head"))
     done = store(across.unionByName(inside).distinct(), "first-pairs")
     drop_finished(spark)
-    several = shared.select("g").unionByName(
-        heads.filter(F.col("head") != F.col("_last")).select("g")
-    ).distinct()
-    # an id may have several texts; the hash tells which one stands for the class
-    texts = store(
-        docs.withColumn("_t", F.xxhash64("text")).join(
-            classes.join(several, "g", "left_semi").select(F.col("rep").alias("doc_id"), "t"),
-            "doc_id",
-        ).filter(F.col("_t") == F.col("t")).select(F.col("doc_id").alias("rep"), "t", "text").dropDuplicates(["rep", "t"]),
-        "class-texts",
-    )
-    drop_finished(spark)
-    links = similar(done, classes, texts, percent=percent)
+    links = similar(done, classes, docs, percent=percent)
     nodes = classes.select(F.col("rep").alias("node_id")).distinct()
     parts = store(
         connected_components(nodes, links.select(F.col("left").alias("src"), F.col("right").alias("dst"))),
         "first-components",
     )
     # 2. neighbours in lists that are still open
-    grouped = classes.join(several, "g", "left_semi").select("g", "n", "rep", "bits")
-    lists = store(shared.select(F.col("shingle").alias("key"), "g", "place").distinct(), "lists")
+    lists = store(_untried(shared, plural.select("g")), "lists")
+    drop_finished(spark)
+    several = lists.select("g").unionByName(plural.select("g")).distinct()
+    grouped = store(classes.join(several, "g", "left_semi").select("g", "n", "rep", "bits"), "open-classes")
     drop_finished(spark)
     turn, before = 0, None
     while True:
@@ -488,7 +517,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
             break
         near = _neighbours(opened, turn, percent).join(done, ["left", "right"], "left_anti")
         tried = store(near, "close-pairs")
-        links = similar(tried, classes, texts, percent=percent)
+        links = similar(tried, classes, docs, percent=percent)
         done = done.unionByName(tried)
         if links.isEmpty():
             break
@@ -497,7 +526,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, limit: int =
         turn, before = turn + 1, open_pairs
     # 3. all that is still open
     todo = store(_open_pairs(opened, members, percent).join(done, ["left", "right"], "left_anti"), "open-pairs")
-    more = similar(todo, classes, texts, percent=percent)
+    more = similar(todo, classes, docs, percent=percent)
     final = parts if more.isEmpty() else _merged(parts, more)
     known = classes.join(final.withColumnRenamed("node_id", "rep"), "rep").select("n", "a", "b", "component")
     return described.join(known, ["n", "a", "b"], "left").select(

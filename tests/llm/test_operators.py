@@ -319,6 +319,36 @@ def test_bitmaps_never_rule_out_similar_sets(spark):
     assert len(kept) < 1.2 * sum(similar)
 
 
+def test_only_texts_of_pairs_are_fetched(spark, monkeypatch):
+    def text(name, n):
+        return " ".join(f"{name}x{i}" for i in range(n))
+
+    close = [(30, text("d", 60)), (31, text("d", 61)), (32, text("e", 40)), (32, text("f", 40)), (33, text("f", 41))]
+    rows = [(i, text(f"a{i}", 20 + i)) for i in range(20)] + close
+    fetched, among = [], jaccard._maybe_among
+    monkeypatch.setattr(jaccard, "_maybe_among", lambda *x: fetched.append(among(*x)) or fetched[-1])
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(found) == components_of(rows)
+    assert sorted(r.doc_id for r in fetched[0].collect()) == [i for i, _ in close]
+
+
+def test_only_lists_with_untried_pairs_stay(spark):
+    groups = {1: [(1, 0), (2, 0)], 2: [(1, 0), (2, 0), (3, 0)], 3: [(i, 0) for i in range(4)], 4: [(9, 0), (1, 0)], 5: [(1, 1), (2, 2)]}
+    rows = [(key, g, 7, part) for key, found in groups.items() for g, part in found]
+    shared = spark.createDataFrame(rows + rows[:3], "shingle long, g long, place long, part int")
+    left = jaccard._untried(shared, spark.createDataFrame([(9,), (77,)], "g long"))
+    assert rows_of(left) == sorted([(key, g, 7) for key in (3, 4, 5) for g, _ in groups[key]], key=str)
+    alone = jaccard._untried(shared, spark.createDataFrame([], "g long")).select("key").distinct()
+    assert rows_of(alone) == [(3,), (5,)]
+
+
+def test_marks_keep_all_wanted_ids(spark):
+    ids = [-5, 0, 3, 2**40, *range(100, 3000, 29)]
+    docs = spark.range(-1000, 5000).selectExpr("id as doc_id", "'x' as text").union(spark.createDataFrame([(2**40, None), (None, "n")], "doc_id long, text string"))
+    kept = {r.doc_id for r in jaccard._maybe_among(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    assert set(ids) <= kept and len(kept) < len(ids) + 20
+
+
 def test_long_lists_are_dealt_in_parts():
     order = jaccard.Order(np.array([3, 9], dtype=np.uint64), np.array([10, 5 * jaccard.LIST_PART]))
     found = [order.list_parts(np.array([3, 5, 9], dtype=np.uint64), g).tolist() for g in range(-6, 7)]
