@@ -280,9 +280,9 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *, percent: i
     ends = likely.select(F.col("left").alias("rep")).unionByName(likely.select(F.col("right").alias("rep"))).distinct()
     # an id may have several texts; the hash tells which one stands for the class
     wanted = store(classes.join(ends, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "t"), "pair-ends")
-    # a merge join leaves the texts dealt by id, as all that follows needs them
+    # a merge join by the id alone (so no plain equality of t) leaves the texts dealt as all that follows needs them
     texts = _maybe_among(docs, wanted.select("doc_id")).join(wanted.hint("merge"), "doc_id").filter(
-        F.xxhash64("text") == F.col("t")
+        F.xxhash64("text").bitwiseXOR(F.col("t")) == 0
     ).dropDuplicates(["doc_id", "t"])
     joined = likely.join(
         texts.select(F.col("doc_id").alias("left"), F.col("text").alias("_l")), "left"
