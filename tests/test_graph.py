@@ -1,6 +1,9 @@
 """Graphs and layers on small graphs, against numpy."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +126,46 @@ def test_listed_cells(spark, n):
     assert turns == 5 * -(-n // 64)
 
 
+def test_dense_rows_of_many_nodes(spark):
+    """More nodes than 131,072, which were refused; a row is whole."""
+    n = 140_000
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    edges = spark.createDataFrame([(0, n - 1), (0, 7)], "src bigint, dst bigint")
+    rows = dense_adjacency.adjacency_rows(nodes, edges)
+    links = rows.limit(50).selectExpr("node_id", "size(vec) as n", "aggregate(vec, 0d, (a, x) -> a + x) as links").collect()
+    assert len(links) == 50 and all(r.n == n for r in links)
+    assert all(r.links == {0: 2, 7: 1, n - 1: 1}.get(r.node_id, 0) for r in links)
+
+
+def test_listed_cells_hold_links_only():
+    """64 rows of 200,000 entries are 102 MB; what is held of them are their links."""
+    width = 200_000
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    def batches():
+        for i in range(64):
+            row = np.zeros(width)
+            row[[i, width - 1]] = 1.0
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([row])], names=["node_id", "vec"])
+
+    tracemalloc.start()
+    count, found = 0, set()
+    for batch in dense_adjacency.listed_cells(Rows())(batches()):
+        ids, dims, values = (batch.column(c).to_numpy() for c in ("node_id", "dim", "value"))
+        count += len(ids)
+        found |= {(i, d, v) for i, d, v in zip(ids[values != 0], dims[values != 0], values[values != 0])}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 64 * width and found == {(i, d, 1.0) for i in range(64) for d in (i, width - 1)}
+    assert peak < 50e6
+
+
 def test_degrees_and_weights(graph):
     got = {r.node_id: (r.degree, r.loop_degree) for r in G.degrees(graph).collect()}
     assert got == {i: (dense()[i].sum(), looped()[i].sum()) for i in range(N)}
