@@ -18,7 +18,7 @@ from ..functions.vectors import as_array
 from ..session import settle
 from .graph import Graph, norms
 from .joins import lookup_join
-from .propagate import hop
+from .propagate import BLOCK, hop
 from .softmax import softmax_sums
 
 #: Fixed value: slope of the attention score below zero.
@@ -34,7 +34,7 @@ def with_norms(graph: Graph, vectors: DataFrame) -> DataFrame:
     return vectors.select("node_id", "vec").join(norms(graph), "node_id")
 
 
-def gcn_propagate(graph: Graph, vectors: DataFrame, *, width: int | None = None) -> DataFrame:
+def gcn_propagate(graph: Graph, vectors: DataFrame, *, width: int | None = None, most: int = BLOCK) -> DataFrame:
     """``sum_j w_ij x_j / sqrt(d_i d_j)`` over neighbours j and i itself.
 
     The degree's part factors into a part of the sender and one of the receiver, so
@@ -43,7 +43,7 @@ def gcn_propagate(graph: Graph, vectors: DataFrame, *, width: int | None = None)
     """
     chained = "norm" in vectors.columns
     sent = vectors if chained else with_norms(graph, vectors)
-    got = hop(graph.proper_hops, sent, hot=graph.hot, width=width, weight="norm", keep=("norm",))
+    got = hop(graph.proper_hops, sent, hot=graph.hot, width=width, weight="norm", keep=("norm",), most=most)
     result = got.withColumn("vec", V.scale(F.col("vec"), F.col("norm")))
     return result if chained else result.drop("norm")
 

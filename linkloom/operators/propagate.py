@@ -39,15 +39,17 @@ def neighbour_sum(
     weight: str | None = None,
     carry: dict[str, Column] | None = None,
     in_blocks: bool = False,
+    most: int = BLOCK,
 ) -> DataFrame:
     """Sum the vectors of each group, times ``weight`` if given.
 
     Plain column sums in a hash aggregate: partial before the shuffle, so a hub
     receives one row per task, in compiled code, and able to spill. ``width`` is
-    the vector length where it is known. ``carry`` adds further aggregates.
+    the vector length where it is known; up to ``most`` entries are summed side by
+    side. ``carry`` adds further aggregates.
     """
     carried = [value.alias(name) for name, value in (carry or {}).items()]
-    if width is not None and width <= BLOCK:
+    if width is not None and width <= most:
         summed = F.array(*_entry_sums(as_array(rows, vec), width, weight))
         return rows.groupBy(by).agg(summed.alias(vec), *carried)
     parts = F.col(vec) if in_blocks else blocks_of(as_array(rows, vec))
@@ -77,15 +79,17 @@ def hop(
     width: int | None = None,
     weight: str | None = None,
     keep: tuple[str, ...] = (),
+    most: int = BLOCK,
 ) -> DataFrame:
     """Sum ``vec`` of all senders per receiver, times the sender's ``weight`` if given.
 
     Where hop rows have a ``weight`` of their own, it is multiplied too.
     ``own_vec`` is what a node sends to itself, if different. ``keep`` names
     scalar columns of the receiver that are carried through its own row. Wide
-    vectors are cut into blocks per sender, before they are repeated per edge.
+    vectors, of over ``most`` entries, are cut into blocks per sender, before they are
+    repeated per edge.
     """
-    in_blocks = width is None or width > BLOCK
+    in_blocks = width is None or width > most
     sending = {name: as_array(senders, name) for name in (vec, own_vec) if name}
     if in_blocks:
         sending = {name: blocks_of(column) for name, column in sending.items()}
@@ -107,5 +111,5 @@ def hop(
     rows = sent.select(F.col("dst").alias("node_id"), "own", message.alias("vec"), *scalars)
     carry = {name: F.max(F.when(F.col("own"), F.col(name))) for name in keep}
     return neighbour_sum(
-        rows, by="node_id", width=width, weight=factor, carry=carry, in_blocks=in_blocks
+        rows, by="node_id", width=width, weight=factor, carry=carry, in_blocks=in_blocks, most=most
     )

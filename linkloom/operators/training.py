@@ -6,7 +6,7 @@ few hops over the whole graph, then fit a linear classifier on the train nodes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.vectors import as_ml_vector
-from ..session import settle
+from ..functions.vectors import as_array, as_ml_vector
+from ..session import drop_finished, settle, settle_by
 from .fusion import FUSIONS
 from .graph import Graph
 from .layers import gcn_propagate, with_norms
 from .metrics import classify, metrics_report, nll
 
+#: Bytes of the messages of one hop up to which wide vectors go whole; beyond it, so many of
+#: their entries take all hops before the next ones do.
+WHOLE_BYTES = 1 << 28
+SLICE = 64
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -32,14 +37,44 @@ class Trained:
     reg: float
 
 
-def smooth(graph: Graph, vectors: DataFrame, hops: int) -> DataFrame:
-    """The features after ``hops`` rounds of normalised propagation."""
+def smooth(
+    graph: Graph, vectors: DataFrame, hops: int, *, width: int | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """The features after ``hops`` rounds of normalised propagation.
+
+    Wide vectors of a known ``width`` go in slices where there are many links, since a hop
+    keeps a message per link on disk.
+    """
     rows = with_norms(graph, vectors)
+    if hops and width is not None and width > SLICE and 8 * width * graph.hops.count() > whole_bytes:
+        return _smooth_slices(graph, rows, hops, width)
     for _ in range(hops):
         rows = gcn_propagate(graph, rows)
     return rows.select("node_id", "vec")
 
 
+def _smooth_slices(graph: Graph, rows: DataFrame, hops: int, width: int) -> DataFrame:
+    """All hops for ``SLICE`` entries after the other, so that only one slice's messages are on disk.
+
+    Links, senders and results are stored by node, and put together without a shuffle.
+    """
+    spark = rows.sparkSession
+    rows = settle_by(rows, "node_id")
+    graph = replace(graph, hops=settle_by(graph.proper_hops, "src"))
+    done = None
+    for first in range(0, width, SLICE):
+        drop_finished(spark)
+        size, name = min(SLICE, width - first), f"_{first}"
+        part = rows.select("node_id", F.slice(as_array(rows), first + 1, size).alias("vec"), "norm")
+        for _ in range(hops):
+            part = gcn_propagate(graph, part, width=size, most=SLICE)
+        part = settle_by(part.select("node_id", F.col("vec").alias(name)), "node_id")
+        done = part if done is None else done.join(part, "node_id")
+    del rows, graph, part  # the slices hold what is still needed
+    drop_finished(spark)
+    return done.select("node_id", F.concat(*[f"_{first}" for first in range(0, width, SLICE)]).alias("vec"))
+
+
 def fit_and_predict(
     nodes: DataFrame,
     vectors: DataFrame,
@@ -59,6 +94,8 @@ def fit_and_predict(
             vectors.select("node_id", as_ml_vector(vectors).alias("features")), "node_id"
         )
     )
+    del vectors
+    drop_finished(rows.sparkSession)
     learner = LogisticRegression(
         featuresCol="features", labelCol="label", family="multinomial", maxIter=max_iter,
         regParam=reg, tol=tol, standardization=standardize,
@@ -115,10 +152,10 @@ def training_report(done: Trained, *, bound: float = 1e-4) -> DataFrame:
 
 
 def train_node_classifier(
-    graph: Graph, nodes: DataFrame, vectors: DataFrame, *, hops: int = 2, **options
+    graph: Graph, nodes: DataFrame, vectors: DataFrame, *, hops: int = 2, width: int | None = None, **options
 ) -> Trained:
     """Train nodes teach; every node is predicted, with the whole graph in view."""
-    return fit_and_predict(nodes, smooth(graph, vectors, hops), **options)
+    return fit_and_predict(nodes, smooth(graph, vectors, hops, width=width), **options)
 
 
 def train_fused_classifier(

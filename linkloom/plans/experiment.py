@@ -38,8 +38,8 @@ def run_experiment(
     graph = data.create_graph()
     nodes = data.nodes.select("node_id", "label", "mode")
     if fusion is None:
-        _, features = data.features()
-        done = training.train_node_classifier(graph, nodes, features, hops=hops, **options)
+        model, features = data.features()
+        done = training.train_node_classifier(graph, nodes, features, hops=hops, width=len(model.terms), **options)
     else:
         if text_vectors is None:
             raise ValueError("a fusion model needs text_vectors(node_id, vec)")

@@ -95,6 +95,24 @@ def test_experiment_writes_its_results(spark, tmp_path):
     assert {"node_id", "text_id", "label", "authors", "title", "time", "mode"} <= set(table.columns)
 
 
+def test_experiment_smooths_features_in_slices(spark, monkeypatch):
+    """With many links the text features, whose width the model knows, go slice by slice; nothing else changes."""
+    data = LinkedTexts.load(fx.articles(spark, SF), fx.citations(spark, SF))
+    plain, smooth, widths = run_experiment(data, max_iter=5), training.smooth, []
+
+    def sliced(*args, width=None, **options):
+        widths.append(width)
+        return smooth(*args, width=width, whole_bytes=0, **options)
+
+    monkeypatch.setattr(training, "smooth", sliced)
+    run = run_experiment(data, max_iter=5)
+    assert widths == [run.trained.model.numFeatures] and widths[0] > training.SLICE
+    a, b = ({r.node_id: r for r in x.trained.rows.collect()} for x in (plain, run))
+    assert a.keys() == b.keys()
+    assert all((a[k].label, a[k].mode) == (b[k].label, b[k].mode) for k in a)
+    assert np.array([a[k].features.toArray() for k in a]) == pytest.approx(np.array([b[k].features.toArray() for k in a]), abs=1e-12)
+
+
 @pytest.mark.parametrize("name", ["reindex_edges", "gcn2_forward", "gat_forward", "split_70_10_20", "tfidf_l2"])
 def test_results_do_not_depend_on_partitions(spark, name):
     results = []

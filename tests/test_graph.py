@@ -5,12 +5,13 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from linkloom.functions import vectors as V
 from linkloom.operators import components, dense as dense_adjacency, fusion, layers as L, metrics
 from linkloom.operators import graph as G
-from linkloom.operators import refresh, softmax
+from linkloom.operators import refresh, softmax, training
 from linkloom.operators.joins import HotKeys
 from linkloom.plans import fixtures as fx
 
@@ -190,6 +191,25 @@ def test_sparse_features_propagate_alike(graph, tables):
     assert matrix(L.gcn_propagate(graph, ml)) == pytest.approx(gcn(x))
 
 
+def test_smooth_in_slices(spark, graph):
+    """Wide vectors take all hops slice by slice; the slices are put together without a shuffle."""
+    width = 2 * training.SLICE + 2
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(N, width)) * (rng.random((N, width)) < 0.2)
+    vectors = spark.createDataFrame([(i, Vectors.sparse(width, np.flatnonzero(row), row[row != 0])) for i, row in enumerate(x)], ["node_id", "vec"])
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sliced = training.smooth(graph, vectors, 2, width=width, whole_bytes=0)
+        plan = sliced._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert matrix(sliced) == pytest.approx(gcn(gcn(x)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before["spark.sql.autoBroadcastJoinThreshold"])
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before["spark.sql.adaptive.enabled"]
+    assert matrix(training.smooth(graph, vectors, 2, width=width)) == pytest.approx(gcn(gcn(x)))
+
+
 def test_sage_and_gin(graph, tables):
     _, _, vectors, x = tables
     w1, w2 = fx.formula_linear(4, 5), fx.formula_linear(4, 5, bias=False)
