@@ -26,6 +26,8 @@ from .metrics import classify, metrics_report, nll
 #: their entries take all hops before the next ones do.
 WHOLE_BYTES = 1 << 28
 SLICE = 64
+#: Seconds that shuffle files get to go in before a slice.
+CLEANING_S = 1.5
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def _smooth_slices(graph: Graph, rows: DataFrame, hops: int, width: int) -> Data
     graph = replace(graph, hops=settle_by(graph.proper_hops, "src"))
     done = None
     for first in range(0, width, SLICE):
-        drop_finished(spark)
+        drop_finished(spark, wait=CLEANING_S)
         size, name = min(SLICE, width - first), f"_{first}"
         part = rows.select("node_id", F.slice(as_array(rows), first + 1, size).alias("vec"), "norm")
         for _ in range(hops):
@@ -71,7 +73,7 @@ def _smooth_slices(graph: Graph, rows: DataFrame, hops: int, width: int) -> Data
         part = settle_by(part.select("node_id", F.col("vec").alias(name)), "node_id")
         done = part if done is None else done.join(part, "node_id")
     del rows, graph, part  # the slices hold what is still needed
-    drop_finished(spark)
+    drop_finished(spark, wait=CLEANING_S)
     return done.select("node_id", F.concat(*[f"_{first}" for first in range(0, width, SLICE)]).alias("vec"))
 
 
