@@ -26,7 +26,7 @@ from .metrics import classify, metrics_report, nll
 #: their entries take all hops before the next ones do.
 WHOLE_BYTES = 1 << 28
 SLICE = 64
-#: Seconds that shuffle files get to go in before a slice.
+#: Seconds that the last slice's shuffle files get to go in, before the slices are stored a second time.
 CLEANING_S = 1.5
 
 
@@ -65,7 +65,7 @@ def _smooth_slices(graph: Graph, rows: DataFrame, hops: int, width: int) -> Data
     graph = replace(graph, hops=settle_by(graph.proper_hops, "src"))
     done = None
     for first in range(0, width, SLICE):
-        drop_finished(spark, wait=CLEANING_S)
+        drop_finished(spark)
         size, name = min(SLICE, width - first), f"_{first}"
         part = rows.select("node_id", F.slice(as_array(rows), first + 1, size).alias("vec"), "norm")
         for _ in range(hops):
